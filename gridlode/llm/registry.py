@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .minhash_dedup import op4_minhash_dedup
 from .substring_dedup import op8_substring_dedup
 
 QUERIES = {
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 

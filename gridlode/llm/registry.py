@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .minhash_dedup import op4_minhash_dedup
 from .substring_dedup import op8_substring_dedup
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import chat_format
+from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
 from .minhash_dedup import op4_minhash_dedup
 from .substring_dedup import op8_substring_dedup
@@ -9,7 +11,10 @@ from .substring_dedup import op8_substring_dedup
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_chat_format": op5_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": chat_format.SQL,
+}

@@ -6,6 +6,7 @@ from . import chat_format
 from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
 from .minhash_dedup import op4_minhash_dedup
+from .secret_scan import op10_secret_scan
 from .substring_dedup import op8_substring_dedup
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

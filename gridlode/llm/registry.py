@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat_format
+from .ann_forest import op6_ann_forest
 from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
 from .minhash_dedup import op4_minhash_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_ann_forest": op6_ann_forest,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -31,9 +31,9 @@ from .textkit import Words, batches_of, mix, shingles, text_bytes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-COORDS = 320
+COORDS = 640
 CHUNK = 1024
-MARGIN = 0.09
+MARGIN = 0.07
 #: So many ids at most are broadcast (8 bytes each) to pick their texts from the scan; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
 
@@ -79,7 +79,7 @@ def _sketches(n: int):
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + table[:, r : BANDS * ROWS : ROWS] + np.uint64(1))
                 key = mix(key ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                tiny = (mix(table) & np.uint64(0xFF)).astype(np.uint8)
+                tiny = np.concatenate([(mix(table) & np.uint64(0xFF)).astype(np.uint8), np.ascontiguousarray(key).view(np.uint8).reshape(end - begin, BANDS, 8)[:, :, :4].reshape(end - begin, -1)], axis=1)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(ids[begin:end], pa.int64()), "n_shingles": pa.array(size, pa.int64()), "h1": sums[0], "h2": sums[1],
                     "bands": pa.array([k if s else [] for k, s in zip(key, size, strict=True)], pa.list_(pa.int64())),
@@ -89,11 +89,17 @@ def _sketches(n: int):
     return run
 
 
+def _first_shared(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first band that both share."""
+    prints = np.ascontiguousarray(sketch[:, COORDS:]).view(np.uint32)
+    return (prints[a] == prints[b]).argmax(axis=1)
+
+
 def _agree(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal coordinates, less what one-byte coordinates share by chance."""
-    out = np.empty(len(a))
+    out, coords = np.empty(len(a)), sketch[:, :COORDS]
     for i in range(0, len(a), 16384):
-        out[i : i + 16384] = (sketch[a[i : i + 16384]] == sketch[b[i : i + 16384]]).mean(axis=1)
+        out[i : i + 16384] = (coords[a[i : i + 16384]] == coords[b[i : i + 16384]]).mean(axis=1)
     return (out - 1 / 256) / (1 - 1 / 256)
 
 
@@ -119,7 +125,7 @@ def _forest(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
 def _blocks(least: float, forest: bool):
     """Rows sorted by (band, lo, hi) -> pairs that may be linked: a forest of each block, or all between components."""
 
-    def pairs_of(group: np.ndarray, cross: np.ndarray, chunk, comp, sketch):
+    def pairs_of(group: np.ndarray, cross: np.ndarray, chunk, comp, number, sketch):
         """group: start offsets (with the end) of complete blocks."""
         sizes = np.diff(group)
         for size in np.unique(sizes[sizes > 1]):
@@ -134,6 +140,9 @@ def _blocks(least: float, forest: bool):
                 if not forest:
                     keep &= comp[a] != comp[b]
                 a, b, block = a[keep], b[keep], block[keep]
+                if not forest and len(a):  # a pair that meets in several bands is told in the first
+                    keep = _first_shared(sketch, a, b) == number[a]
+                    a, b, block = a[keep], b[keep], block[keep]
                 near = _agree(sketch, a, b)
                 ok = near >= least
                 yield a[ok], b[ok], block[ok], near[ok]
@@ -157,14 +166,14 @@ def _blocks(least: float, forest: bool):
             else:
                 stop, group = tail.num_rows, np.append(starts, tail.num_rows)
             if len(group) > 1:
-                doc, chunk, comp = (tail.column(c).to_numpy() for c in ("doc_id", "chunk", "comp"))
+                doc, chunk, comp, number = (tail.column(c).to_numpy() for c in ("doc_id", "chunk", "comp", "number"))
                 raw = tail.column("sketch").slice(0, stop).combine_chunks()
                 raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
                 sketch = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(stop, -1)
                 cross = cols[1][group[:-1]] != cols[2][group[:-1]]
                 waiting: dict[int, list] = {}
                 outs: list[tuple[np.ndarray, np.ndarray]] = []
-                for a, b, block, near in pairs_of(group, cross, chunk, comp, sketch):
+                for a, b, block, near in pairs_of(group, cross, chunk, comp, number, sketch):
                     x, y = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
                     if forest:
                         count = np.bincount(block, minlength=1)[block]
@@ -234,8 +243,8 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
 def _candidates(members: DataFrame, sketches: DataFrame, least: float, forest: bool) -> DataFrame:
     spark = members.sparkSession
     dealt = members.withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("band", "doc_id", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "doc_id", "comp", "chunk")
+    dealt = dealt.select("band", "number", "doc_id", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "number", "doc_id", "comp", "chunk")
     dealt = dealt.join(sketches, "doc_id").repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     return dealt.mapInArrow(_blocks(least, forest), "a long, b long").distinct()
 
@@ -252,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     sets = materialize(sets, "sets")
     firsts = sketches.join(sets, ["h1", "h2", "n_shingles"]).where("doc_id = copy_of").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch")
     firsts = materialize(firsts, "firsts")
-    banded = firsts.select("doc_id", F.explode("bands").alias("band"))
+    banded = firsts.select("doc_id", F.posexplode("bands").alias("number", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(banded.join(shared, "band"), "members")
     small = firsts.select("doc_id", "sketch")

@@ -37,15 +37,15 @@ BITS = 64
 
 def words_of(text: Column) -> Column:
     """Lower-cased words; an empty array for null, empty or blank texts."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, _SEPARATORS), lambda w: w != "")
+    low = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(low != "", F.split(low, _SEPARATORS)).otherwise(F.array().cast("array<string>"))
 
 
-def _shingle_hashes(words: Column, n: int, least: int = 1) -> Column:
-    """Hash of each run of n words, in order; of the whole if there are fewer; empty with less than ``least`` words."""
+def _shingle_hashes(words: Column, n: int) -> Column:
+    """Hash of each run of n words, in order; of the whole if there are fewer; empty without words."""
     count = F.size(words)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(count - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.when(count >= least, runs).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count > 0, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def simhash(hashes: Column) -> Column:
@@ -84,17 +84,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     windows = None
     short = [r.length for r in listed.where(F.col("length") < n).select("length").distinct().collect()]  # n - 1 lengths at most
     for size in [n, *sorted(short)]:
-        hashed = source.select("doc_id", _shingle_hashes(F.col("words"), size, size).alias("text_hashes"))
-        hashed = hashed.select("doc_id", "text_hashes", F.posexplode_outer("text_hashes").alias("at", "hash"))
+        # split, hash and look up in one generated loop: no lambda here, and the words of a text are not copied
+        at = source.select("doc_id", "words", F.posexplode_outer("words").alias("at", "word"))
+        hashed = at.select("doc_id", "words", "at", F.xxhash64(F.slice("words", F.col("at") + 1, size)).alias("hash"))
         wanted = anchors.where(F.col("length") >= n if size == n else F.col("length") == size)
         hit = hashed.join(held(wanted), "hash")
-        # as lambdas: this runs for few rows, and should not swell the code of the loop over all shingles
-        start = F.transform(F.array("at"), lambda at: F.greatest(F.lit(0), F.least(at, F.size("text_hashes") - F.size("item_hashes"))))
-        window = F.transform(start, lambda at: F.slice("text_hashes", at + 1, F.size("item_hashes")))
-        # no more shingles than these can be shared; a window with the most begins with a shared one
+        hit = hit.select("doc_id", "item_id", "length", F.greatest(F.lit(0), F.least("at", F.size("words") - F.col("length"))).alias("start"), "words", "item_hashes")
+        hit = hit.select("doc_id", "item_id", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"), "item_hashes")
+        hit = hit.select("doc_id", "item_id", "length", "start", _shingle_hashes(F.col("window"), size).alias("hashes"), "item_hashes")
+        # no more shingles than these can be shared; a window with the most begins with a shared one. An outer
+        # generator keeps this out of the join's condition, and with it out of the loop over all shingles.
         shared = lambda w: F.size(w) - F.size(F.array_except(w, F.col("item_hashes")))
-        enough = F.exists(window, lambda w: shared(w) * (1 + threshold) >= threshold * (F.size(w) + F.size("item_hashes")) - 1e-9)
-        hit = hit.where(enough).select("doc_id", "item_id", start[0].alias("start"), "length", window[0].alias("hashes"))
+        enough = F.filter(F.array("hashes"), lambda w: shared(w) * (1 + threshold) >= threshold * (F.size(w) + F.size("item_hashes")) - 1e-9)
+        hit = hit.select("doc_id", "item_id", "start", "length", F.explode_outer(enough).alias("hashes")).where(F.col("hashes").isNotNull())
         windows = hit if windows is None else windows.unionByName(hit)
     windows = materialize(windows.dropDuplicates(["doc_id", "item_id", "start", "hashes"]).withColumn("print", simhash(F.col("hashes"))), "windows")
 

@@ -6,16 +6,20 @@ from . import chat_format
 from .ann_forest import op6_ann_forest
 from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
+from .kd_shards import op3_kd_shards
 from .minhash_dedup import op4_minhash_dedup
+from .mixing import op9_mixing
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op8_substring_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_kd_shards": op3_kd_shards,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_ann_forest": op6_ann_forest,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 

@@ -11,6 +11,7 @@ from .minhash_dedup import op4_minhash_dedup
 from .mixing import op9_mixing
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op8_substring_dedup
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_ann_forest": op6_ann_forest,
+    "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,

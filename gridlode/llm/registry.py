@@ -9,12 +9,14 @@ from .decontaminate import op1_decontaminate
 from .kd_shards import op3_kd_shards
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op9_mixing
+from .quality import op2_quality
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op8_substring_dedup
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_kd_shards": op3_kd_shards,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_chat_format": op5_chat_format,

@@ -111,3 +111,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without a leaked item, with all their columns; rows with a null doc_id stay only if no such row leaks."""
+    leaked = materialize(find_leaks(docs, items, threshold).select("doc_id").distinct(), "leaked")
+    held = F.broadcast(leaked) if leaked.count() <= MAX_ITEM_SHINGLES else leaked
+    if leaked.where("doc_id is null").isEmpty():
+        return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    return docs.where("doc_id is not null").join(held, "doc_id", "left_anti").select(docs.columns)

@@ -1,0 +1,6 @@
+"""The registered queries: name -> (spark, sf_dir) -> DataFrame, and the same in SQL for the checks."""
+
+from . import cells
+
+QUERIES = {**cells.QUERIES}
+ORACLE_SQL = {**cells.SQL}

@@ -1,6 +1,6 @@
 """The registered queries: name -> (spark, sf_dir) -> DataFrame, and the same in SQL for the checks."""
 
-from . import cells
+from . import cells, relations
 
-QUERIES = {**cells.QUERIES}
-ORACLE_SQL = {**cells.SQL}
+QUERIES = {**cells.QUERIES, **relations.QUERIES}
+ORACLE_SQL = {**cells.SQL, **relations.SQL}

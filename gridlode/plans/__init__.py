@@ -1,6 +1,6 @@
 """The registered queries: name -> (spark, sf_dir) -> DataFrame, and the same in SQL for the checks."""
 
-from . import cells, relations
+from . import cells, relations, versions
 
-QUERIES = {**cells.QUERIES, **relations.QUERIES}
-ORACLE_SQL = {**cells.SQL, **relations.SQL}
+QUERIES = {**cells.QUERIES, **relations.QUERIES, **versions.QUERIES}
+ORACLE_SQL = {**cells.SQL, **relations.SQL, **versions.SQL}

@@ -137,22 +137,25 @@ def find_label(text: Column) -> Column:
     return F.regexp_extract(_plain_digits(F.coalesce(text, F.lit(""))), LABEL, 0)
 
 
+def bind(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical_label(raw: Column) -> Column:
     """One spelling for labels: ``TABLE III. Results`` -> ``Table III``, ``表 2.3`` -> ``表2.3``, ``4.9`` -> ``表4.9``."""
-    s = F.trim(_plain_digits(F.coalesce(raw, F.lit(""))))
-    whole = rf"{LABEL}(?=[.:：—–\s]|$)"
-    head = F.regexp_extract(s, f"^(?:{whole})".replace("^(?:(?i)", "(?i)^(?:"), 0)
-    s = F.when(head != "", head).otherwise(s)
-    number = F.regexp_extract(s, rf"(?i)^(?:{'|'.join(LABEL_WORDS)})\s*(.*)$", 1)
-    word = F.lower(F.regexp_replace(F.regexp_extract(s, rf"(?i)^({'|'.join(LABEL_WORDS)})", 1), r"\s+", " "))
-    chinese = word.isin("附表", "附录表", "补充表", "表")
-    dashed = F.regexp_replace(F.regexp_replace(F.regexp_replace(number, rf"[\s{_DASH}]", "-"), "-{2,}", "-"), "^-|-$", "")
-    english = F.when(word.isin("table", "tab", "tab."), "Table").otherwise(F.initcap(word))
-    latin = F.regexp_replace(number, "[—–_]", "-")
-    return (
-        F.when(s.rlike(r"^[0-9]+\.[0-9]+(?:\.[0-9]+)?$"), F.concat(F.lit("表"), s)).when((word == "") | (number == ""), s)
-        .when(chinese, F.concat(word, dashed)).otherwise(F.concat(english, F.lit(" "), latin))
-    )
+    words = "|".join(LABEL_WORDS)
+    whole = f"(?i)^(?:{LABEL[4:]})(?=[.:：—–\\s]|$)"
+
+    def spell(s: Column) -> Column:
+        number = F.regexp_extract(s, rf"(?i)^(?:{words})\s*(.*)$", 1)
+        word = F.lower(F.regexp_replace(F.regexp_extract(s, rf"(?i)^({words})", 1), r"\s+", " "))
+        dashed = F.regexp_replace(F.regexp_replace(F.regexp_replace(number, rf"[\s{_DASH}]", "-"), "-{2,}", "-"), "^-|-$", "")
+        latin = F.concat_ws(" ", F.when(word.isin("table", "tab", "tab."), "Table").otherwise(F.initcap(word)), F.regexp_replace(number, "[—–_]", "-"))
+        return F.when(s.rlike(r"^[0-9]+\.[0-9]+(?:\.[0-9]+)?$"), F.concat(F.lit("表"), s)).when((word == "") | (number == ""), s).when(word.isin("附表", "附录表", "补充表", "表"), F.concat(word, dashed)).otherwise(latin)
+
+    trimmed = F.trim(_plain_digits(F.coalesce(raw, F.lit(""))))
+    return bind(trimmed, lambda s: bind(F.coalesce(F.nullif(F.regexp_extract(s, whole, 0), F.lit("")), s), spell))
 
 
 def is_supplementary(label: Column) -> Column:

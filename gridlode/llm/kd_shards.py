@@ -177,6 +177,7 @@ def stage_shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> D
     """The documents with the number of their shard in ``shard`` (a column of that name is replaced)."""
     done = shard(docs, shards).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
     given = [c for c in docs.columns if c != "shard"]
-    keyed = docs.select(*given, F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_crc"))
-    joined = keyed.alias("l").join(done.alias("r"), F.expr("l.doc_id <=> r.doc_id and l._crc = r.text_crc32"), "left")
-    return joined.select(*[F.col(f"l.{c}") for c in given], F.col("r.shard").alias("shard"))
+    row = F.struct(*[F.col(c) for c in given]).alias("row")
+    keyed = docs.select(row, F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
+    joined = keyed.alias("l").join(done.alias("r"), F.expr("l.row.doc_id <=> r.doc_id and l.crc = r.text_crc32"), "left")
+    return joined.select("l.row.*", F.col("r.shard").alias("shard"))

@@ -123,7 +123,7 @@ def stage_mix(spark: SparkSession, docs: DataFrame, targets: dict[str, float | d
     """The drawn documents with all their columns; texts are read twice and not shuffled."""
     counted = docs.select(*_facts(docs), count_tokens(F.col("text")).alias("tokens"))
     cells = _probabilities(materialize(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "counts"), targets)
-    keyed = docs.select(*docs.columns, *[f.alias(f"_mix_{d}") for f, d in zip(_facts(docs), DIMENSIONS, strict=True)])
-    chosen = keyed.join(_held(cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], F.col("probability").alias("_mix_p"))), [f"_mix_{d}" for d in DIMENSIONS])
-    words = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) > 0
-    return chosen.where(words & _drawn(F.col("doc_id"), F.col("_mix_p"), seed)).select(docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    chosen = docs.select(row, *_facts(docs)).join(_held(cells.select(*DIMENSIONS, "probability")), list(DIMENSIONS))
+    words = F.length(F.btrim(F.coalesce("row.text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) > 0
+    return chosen.where(words & _drawn(F.col("row.doc_id"), F.col("probability"), seed)).select("row.*")

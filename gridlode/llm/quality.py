@@ -198,12 +198,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns: one pass over the texts, no shuffle."""
     model = fit_quality(docs, labels)
-    names = docs.columns
 
     def run(batches):
         for b in batches:
-            text, meta = text_features(text_bytes(b.column("text"))), meta_features(*(b.column(c).to_pylist() for c in ("_lang", "_source", "_n_chars")))
-            yield b.filter(pa.array(model.scores(text, meta)[:, 2] >= model.cut)).select(names)
+            text = text_features(text_bytes(b.column("text")))
+            meta = meta_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+            yield b.filter(pa.array(model.scores(text, meta)[:, 2] >= model.cut))
 
-    wide = docs.select(*names, F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), F.col("n_chars").cast("long").alias("_n_chars"))
-    return wide.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

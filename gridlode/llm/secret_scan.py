@@ -41,13 +41,14 @@ CLASSES = {
     "alphanumeric": (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.6),
     "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
 }
-#: Candidates that are no secrets: words joined by dashes, underscores or slashes, plain numbers, UUIDs, placeholders.
+#: Candidates that are no secrets: plain numbers, UUIDs, placeholders. Words joined by dashes, underscores or slashes are
+#: another: what is left without the words has no letter or digit (no repeated group, so long candidates need no deep stack).
 ALLOWED = (
     r"^[0-9+/_=-]+$",
-    r"^[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*$",
     r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$",
     r"(?i:example|changeme|placeholder|dummy|lorem|xxxx|0123456789|abcdefghij)",
 )
+_PLAIN_WORD = r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?![A-Za-z0-9])"
 _FINDING = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
@@ -88,7 +89,7 @@ def window_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
 
 
 def _random(candidate: Column) -> Column:
-    suppressed = F.lit(False)
+    suppressed = ~F.regexp_replace(candidate, _PLAIN_WORD, "").rlike("[A-Za-z0-9]")
     for pattern in ALLOWED:
         suppressed = suppressed | candidate.rlike(pattern)
     reached = None

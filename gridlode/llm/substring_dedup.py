@@ -116,9 +116,11 @@ def _anchors(table: pa.Table) -> pa.Table:
     seen = np.bitwise_or.reduceat(flags, start)
     hot = np.repeat((seen & 1 > 0) & ((size > 1) | (seen & 2 > 0)), size)
     prints, buckets = prints[hot], buckets[hot]
+    if not len(prints):
+        return _ANCHORS.empty_table()
     order = np.lexsort((prints, buckets))
     prints, buckets = prints[order], buckets[order]
-    begin = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, dtype=int)
+    begin = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
     stop = np.append(begin[1:], len(buckets)).astype(int)
     part = table.column("part")[0].as_py()
     return pa.table({"bucket": buckets[begin], "part": np.full(len(begin), part, dtype=np.int32), "n": (stop - begin).astype(np.int32), "prints": [pack(prints[i:j]) for i, j in zip(begin, stop, strict=True)]}, schema=_ANCHORS)
@@ -174,9 +176,11 @@ def _late(table: pa.Table) -> pa.Table:
     high, low, buckets = high[order], low[order], buckets[order]
     late = np.concatenate([[False], (high[1:] == high[:-1]) & (low[1:] == low[:-1])])
     high, buckets = high[late], buckets[late]
+    if not len(high):
+        return _LATE.empty_table()
     order = np.lexsort((high, buckets))
     high, buckets = high[order], buckets[order]
-    begin = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, dtype=int)
+    begin = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
     stop = np.append(begin[1:], len(buckets)).astype(int)
     return pa.table({"bucket": buckets[begin], "n": (stop - begin).astype(np.int32), "high": [pack(high[i:j]) for i, j in zip(begin, stop, strict=True)]}, schema=_LATE)
 

@@ -34,7 +34,7 @@ NEAR = 4
 #: Second-person words of the corpus languages.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "thou", "tu", "toi", "te", "ton", "ta", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "ti", "tú", "usted", "ustedes", "vosotros")
 _WORD = re.compile(r"[^\W\d_]+")
-_HIDDEN = re.compile(r"[^\W\d_]+(?:[0-9@$!*.\-_+]+[^\W\d_]+)+|\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
+_HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!*.\-_+]+[^\W\d_]+)+|\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "+": "t"})
 FEATURES = ("word_density", "stem_density", "words_found", "stems_found", "word_kinds", "line_share", "near_second", "second_density", "capital_share", "capital_words", "exclaims", "questions", "marks", "hidden_rate", "hidden_found", "log_words", "weight_sum", "weight_top")
 

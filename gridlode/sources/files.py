@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, nothing inferred, empty cells as empty strings."""
-    return spark.read.option("header", True).option("inferSchema", False).option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).na.fill("")
 
 
 def read_input_list(spark: SparkSession, path: str) -> DataFrame:

@@ -46,7 +46,7 @@ def split_pages(docs: DataFrame) -> DataFrame:
     parts = F.split(F.coalesce("text", F.lit("")), r"(?i)(?=<!--\s*Page\s+[0-9]+\s*-->)")
     rows = docs.select("doc_id", F.explode(parts).alias("part"))
     page = F.coalesce(F.nullif(F.regexp_extract("part", r"(?i)^<!--\s*Page\s+([0-9]+)\s*-->", 1), F.lit("")).cast("int") - 1, F.lit(0))
-    text = F.trim(F.regexp_replace("part", r"(?i)^<!--\s*Page\s+[0-9]+\s*-->\s*", ""))
+    text = F.regexp_replace(F.regexp_replace("part", r"(?i)^<!--\s*Page\s+[0-9]+\s*-->", ""), r"^\s+|\s+$", "")
     return rows.select("doc_id", page.alias("page_idx"), text.alias("text")).where("text <> ''")
 
 

@@ -34,28 +34,42 @@ NEAR = 4
 #: Second-person words of the corpus languages.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "thou", "tu", "toi", "te", "ton", "ta", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "ti", "tú", "usted", "ustedes", "vosotros")
 _WORD = re.compile(r"[^\W\d_]+")
-_HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!*.\-_+]+[^\W\d_]+)+|\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
+_HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!*.\-_+]+[^\W\d_]+)+")
+_APART = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
+_EDGES = ".,;:!?()[]{}\"'|"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "+": "t"})
 FEATURES = ("word_density", "stem_density", "words_found", "stems_found", "word_kinds", "line_share", "near_second", "second_density", "capital_share", "capital_words", "exclaims", "questions", "marks", "hidden_rate", "hidden_found", "log_words", "weight_sum", "weight_top")
 
 
-def lexicon_features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """``lexicon``: word, or ~ and a stem -> log odds."""
+class Lexicon:
+    """Words and stems with their log odds, and the first four letters of stems."""
+
+    def __init__(self, entries: dict[str, float]):
+        self.words = {w: g for w, g in entries.items() if not w.startswith("~")}
+        self.stems = {w[1:]: g for w, g in entries.items() if w.startswith("~")}
+        self.heads = {w[:4] for w in self.stems}
+
+    def __bool__(self) -> bool:
+        return bool(self.words or self.stems)
+
+    def stem(self, word: str) -> float:
+        return max((self.stems.get(word[:k], 0.0) for k in STEM if len(word) > k), default=0.0)
+
+
+def lexicon_features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     cased = _WORD.findall(text)
     n = len(cased)
     low = [w.lower() for w in cased]
-    at = [i for i, w in enumerate(low) if w in lexicon]
-    kinds = {low[i]: lexicon[low[i]] for i in at}
-    by_stem = []
-    for i, w in enumerate(low):
-        if "~" + w[:4] in lexicon or "~~" + w[:4] in lexicon:
-            best = max((lexicon.get("~" + w[:k], 0.0) for k in STEM if len(w) > k), default=0.0)
-            if best:
-                by_stem.append(i)
-                kinds[w] = max(best, kinds.get(w, 0.0))
+    kinds_here = set(low)
+    words_here = {w: lexicon.words[w] for w in kinds_here & lexicon.words.keys()}
+    stems_here = {w: g for w in kinds_here if w[:4] in lexicon.heads and (g := lexicon.stem(w))}
+    kinds = words_here | {w: max(g, words_here.get(w, 0.0)) for w, g in stems_here.items()}
+    at = [i for i, w in enumerate(low) if w in words_here] if words_here else []
+    by_stem = [i for i, w in enumerate(low) if w in stems_here] if stems_here else []
     hits = sorted({*at, *by_stem})
-    second = [i for i, w in enumerate(low) if w in SECOND]
+    second = [i for i, w in enumerate(low) if w in SECOND] if kinds_here & SECOND else []
     near = 0
     if hits and second:
         spots = np.array(second)
@@ -63,24 +77,26 @@ def lexicon_features(text: str | None, lexicon: dict[str, float]) -> list[float]
         before = np.abs(np.array(hits) - spots[np.maximum(where - 1, 0)])
         after = np.abs(np.array(hits) - spots[np.minimum(where, len(spots) - 1)])
         near = int((np.minimum(before, after) <= NEAR).sum())
-    hidden = _HIDDEN.findall(text)
-    plain = [re.sub(r"[^\w]|[\d_]", "", h.lower().translate(_PLAIN)) for h in hidden]
-    found = sum(p in lexicon or re.sub(r"[^\w]|[\d_]", "", h.lower()) in lexicon for h, p in zip(hidden, plain, strict=True))
+    tokens = text.split()
+    odd = [s for t in tokens if not t.isalpha() and not (s := t.strip(_EDGES)).isalpha()]
+    hidden = [h for t in odd for h in _HIDDEN.findall(t)]
+    apart = _APART.findall(text) if sum(len(t) == 1 for t in tokens) > 3 else []
+    plain = [re.sub(r"[\W\d_]", "", h.lower().translate(_PLAIN)) for h in hidden] + [re.sub(r"[\W\d_]", "", h.lower()) for h in hidden + apart]
+    found = sum(p in lexicon.words for p in plain)
     lines = text.split("\n")
     marked = sum(any(w in kinds for w in _WORD.findall(line.lower())) for line in lines) / len(lines) if hits else 0.0
     size = max(1, len(text))
-    capitals = sum(map(str.isupper, text))
     return [
-        len(at) / max(1, n), len(by_stem) / max(1, n), min(50, len(at)), min(50, len(by_stem)), min(30, len(kinds)), marked, near, len(second) / max(1, n), capitals / size,
-        sum(len(w) > 1 and w.isupper() for w in cased) / max(1, n), text.count("!") / size, text.count("?") / size, sum(text.count(c) for c in "#$%&*@") / size,
-        len(hidden) / max(1, n), found, np.log1p(n), min(100.0, sum(kinds.values())), max(kinds.values(), default=0.0),
+        len(at) / max(1, n), len(by_stem) / max(1, n), min(50, len(at)), min(50, len(by_stem)), min(30, len(kinds)), marked, near, len(second) / max(1, n), sum(map(text.count, _CAPITALS)) / size,
+        sum(len(w) > 1 and w.isupper() for w in cased) / max(1, n), text.count("!") / size, text.count("?") / size, sum(map(text.count, "#$%&*@")) / size,
+        (len(hidden) + len(apart)) / max(1, n), found, np.log1p(n), min(100.0, sum(kinds.values())), max(kinds.values(), default=0.0),
     ]
 
 
 SECOND = frozenset(SECOND_PERSON)
 
 
-def _matrix(texts: list[bytes | None], lexicon: dict[str, float]) -> np.ndarray:
+def _matrix(texts: list[bytes | None], lexicon: Lexicon) -> np.ndarray:
     return np.array([lexicon_features(t.decode("utf-8", "replace") if t else "", lexicon) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
 
 
@@ -96,26 +112,25 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words (and ~ with stems) of toxic rows -> log odds; each row counts once for each. ~~ marks how stems begin."""
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """Words (and ~ with stems) of toxic rows -> log odds; each row counts once for each."""
     low = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
     cut = lambda w: F.transform(F.filter(F.array(*[F.lit(k) for k in STEM]), lambda k: k < F.length(w)), lambda k: F.concat(F.lit("~"), F.substr(w, F.lit(1), k)))
     stems = F.array_distinct(F.flatten(F.transform(low, cut)))
     sums = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(sums["t"] or 0), int((sums["n"] or 0) - (sums["t"] or 0))
     if not toxic or not clean:
-        return {}
+        return Lexicon({})
     counted = rows.select("toxic", F.explode(F.concat(low, stems)).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     gain = F.log((F.col("t") + 0.1) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
     top = counted.where(F.col("t") >= max(LEAST_TOXIC, toxic // 400)).withColumn("gain", gain).where("gain > 2.5").orderBy((F.col("gain") * F.sqrt("t")).desc(), "w").limit(MAX_LEXICON).collect()
-    lexicon = {r["w"]: float(r["gain"]) for r in top}
-    return lexicon | {"~~" + w[1:5]: 0.0 for w in lexicon if w.startswith("~")}
+    return Lexicon({r["w"]: float(r["gain"]) for r in top})
 
 
 class ToxicityModel:
     """Lexicon, trees and calibration."""
 
-    def __init__(self, lexicon: dict[str, float], trees: BoostedTrees | None, calibration: Isotonic | None, share: float):
+    def __init__(self, lexicon: Lexicon, trees: BoostedTrees | None, calibration: Isotonic | None, share: float):
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:

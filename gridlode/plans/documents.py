@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import geometry, ledger, profile
+from ..operators import classify, geometry, ledger, profile
 from ..sources import files, markdown, markup, sinks
 from ..streaming.ingest import event_counts
-from .fixtures import CELLS_SQL, ROWS_SQL, order_cells, order_rows, read
+from .fixtures import CELLS_SQL, ROWS_SQL, order_cells, order_headers, order_rows, read
 
 QUERIES, SQL = {}, {}
 
@@ -151,3 +151,71 @@ def q67(spark, d):
     m, r, c = F.col("table_id") % 5, F.col("row_idx"), F.col("col_idx")
     text = F.when((m == 0) & (r == 0) & (c == 0), "Please accept cookies").when((m == 1) & (r == 0) & (c == 0), "Login here").when((m == 1) & (r == 0) & (c == 1), "or subscribe").when((m == 2) & (r == 0) & (c == 0), "different parent").otherwise(F.col("text"))
     return profile.paywall_tables(order_cells(spark, d).withColumn("text", text))
+
+
+@query("q68_metadata_tables")
+def q68(spark, d):
+    c, m = F.col("col_idx"), F.col("table_id") % 6
+    text = F.when(m == 0, F.when(c == 0, F.concat(F.lit("["), F.col("row_idx") + 1, F.lit("] Smith et al."))).otherwise("2001")).when(m == 1, "This is a sentence that goes on for a while. And another; the end.").otherwise(F.col("text"))
+    heads = order_headers(spark, d).withColumn("name", F.when((m == 2) & (c == 0), "Author").when((m == 2) & (c == 1), "Affiliation").when((m == 2) & (c == 2), "Email").otherwise(F.col("name")))
+    return classify.metadata_tables(order_cells(spark, d).withColumn("text", text), heads)
+
+
+@query("q69_read_backwards", f"""WITH {CELLS_SQL}, b AS (SELECT table_id, count(*) AS n FROM order_cells GROUP BY 1) SELECT table_id, table_id % 3 = 0 AS backwards FROM b""")
+def q69(spark, d):
+    heads = order_headers(spark, d).withColumn("name", F.when((F.col("table_id") % 3 == 0) & (F.col("col_idx") < 2), F.when(F.col("col_idx") == 0, "elpmaS").otherwise("mpp_hT")).otherwise(F.col("name")))
+    return classify.read_backwards(order_cells(spark, d), heads)
+
+
+@query("q70_upside_down", f"""WITH {ROWS_SQL}, t AS (SELECT table_id, max(row_idx) AS last FROM order_rows GROUP BY 1) SELECT table_id, last >= 1 AND table_id % 4 = 0 AS upside_down FROM t""")
+def q70(spark, d):
+    turned = F.col("table_id") % 4 == 0
+    last = order_rows(spark, d).groupBy("table_id").agg(F.max("row_idx").alias("last"))
+    cells = order_cells(spark, d).join(last, "table_id").withColumn("text", F.when(turned & (F.col("row_idx") == F.col("last")), F.concat(F.lit("Name "), F.col("col_idx").cast("string"), F.lit("x"))).otherwise(F.col("text"))).drop("last")
+    heads = order_headers(spark, d).withColumn("name", F.when(turned, (F.col("col_idx") * 10 + 3).cast("string")).otherwise(F.col("name")))
+    return classify.upside_down(cells, heads)
+
+
+@query("q71_document_class", """WITH p AS (SELECT o_custkey AS doc_id, o_orderkey % 60 AS page_idx, (o_orderkey % 50)::BIGINT AS chars, (o_orderkey % 160)::DOUBLE AS x_spread FROM orders), a AS (SELECT doc_id, count(*) AS n_pages, coalesce(sum(chars) FILTER (page_idx < 5), 0)::BIGINT AS chars, max(x_spread) AS s FROM p GROUP BY 1)
+SELECT doc_id, n_pages, chars, CASE WHEN chars < 100 THEN 'scanned' WHEN n_pages >= 40 THEN 'thesis' WHEN s > 150 THEN 'double_column' ELSE 'single_column' END AS doc_class FROM a""")
+def q71(spark, d):
+    k = F.col("o_orderkey")
+    pages = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (k % 60).alias("page_idx"), (k % 50).alias("chars"), (k % 160).cast("double").alias("x_spread"))
+    return classify.document_class(pages)
+
+
+@query("q72_token_containment", f"""WITH a AS (SELECT DISTINCT l_orderkey AS pair_id, 'P' || l_partkey AS token FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS pair_id, CASE WHEN l_suppkey % 3 = 0 THEN 'P' || l_partkey WHEN l_suppkey % 3 = 1 THEN 'xP' || l_partkey ELSE 'none' END AS token FROM lineitem),
+h AS (SELECT a.pair_id, a.token, bool_or(a.token = b.token OR (length(a.token) >= 3 AND contains(b.token, a.token)) OR (length(b.token) >= 3 AND contains(a.token, b.token))) AS hit FROM a JOIN b USING (pair_id) GROUP BY 1, 2)
+SELECT pair_id, count(*) AS n, round(count(*) FILTER (hit) / count(*), 6) AS containment FROM h GROUP BY 1""")
+def q72(spark, d):
+    li, m, p = read(spark, d, "lineitem"), F.col("l_suppkey") % 3, F.concat(F.lit("P"), F.col("l_partkey"))
+    a = li.select(F.col("l_orderkey").alias("pair_id"), p.alias("token"))
+    b = li.select(F.col("l_orderkey").alias("pair_id"), F.when(m == 0, p).when(m == 1, F.concat(F.lit("x"), p)).otherwise("none").alias("token"))
+    return classify.token_containment(a, b).withColumn("containment", F.round("containment", 6))
+
+
+@query("q73_truth_scores", """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 2 = 0 AS lm, l_partkey % 3 = 0 AS pm, l_suppkey % 4 AS shared, (l_suppkey % 10) / 10.0 AS r, (l_partkey % 7)::BIGINT AS cols FROM lineitem),
+s AS (SELECT *, CASE WHEN lm THEN 0.4 ELSE 0 END + CASE WHEN pm THEN 0.2 ELSE 0.1 END + CASE WHEN cols > 0 THEN 0.2 * least(cols, 5) / greatest(cols, 5) ELSE 0 END + 0.4 * least(1.0, r) AS raw FROM p)
+SELECT shared, cols, lm, pm, round(max(CASE WHEN lm OR shared >= 3 OR r >= 0.2 THEN raw ELSE least(raw, 0.3) END), 6)::DOUBLE AS best, count(*) AS n FROM s GROUP BY 1, 2, 3, 4""")
+def q73(spark, d):
+    r = (F.col("l_suppkey") % 10).cast("double") / 10
+    p = read(spark, d, "lineitem").select((F.col("l_partkey") % 2 == 0).alias("label_match"), (F.col("l_partkey") % 3 == 0).alias("page_match"), F.lit(True).alias("later_page"), (F.col("l_partkey") % 7).alias("cols"), F.lit(5).alias("truth_cols"), (F.col("l_suppkey") % 4).alias("shared"), r.alias("recall"), r.alias("jaccard"), F.lit(False).alias("cross_validated"))
+    out = classify.truth_scores(p)
+    return out.groupBy("shared", "cols", F.col("label_match").alias("lm"), F.col("page_match").alias("pm")).agg(F.round(F.max("score"), 6).alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+@query("q74_split_rows")
+def q74(spark, d):
+    rows = order_rows(spark, d).where("row_idx = 0")
+    m = F.col("l_partkey") % 3
+    last = F.array(F.concat(F.lit("S"), F.col("l_partkey")), F.when(m == 0, "long text and").otherwise("1.5"), F.lit(""))
+    first = F.array(F.when(m == 2, "T").otherwise(""), F.when(m == 0, "more").otherwise("2.5"), F.lit("7"))
+    return classify.join_split_rows(rows.select(F.col("table_id").alias("pair_id"), last.alias("last"), first.alias("first"))).select("pair_id", "merged", F.array_join("row", "|").alias("row"))
+
+
+@query("q75_script_runs")
+def q75(spark, d):
+    p = read(spark, d, "part")
+    text = F.concat(F.lit("H_2O 10^{-"), F.col("p_size"), F.lit("} p_brand_"), F.col("p_size"))
+    runs = p.select("p_partkey", F.explode(classify.script_runs(text)).alias("r"))
+    return runs.groupBy(F.col("r.align").alias("align"), F.col("r.chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import classify, geometry, ledger, profile
+from ..functions.matching import block_ratio
+from ..operators import classify, cleaning, geometry, ledger, profile
 from ..sources import files, markdown, markup, sinks
 from ..streaming.ingest import event_counts
 from .fixtures import CELLS_SQL, ROWS_SQL, order_cells, order_headers, order_rows, read
@@ -219,3 +220,40 @@ def q75(spark, d):
     text = F.concat(F.lit("H_2O 10^{-"), F.col("p_size"), F.lit("} p_brand_"), F.col("p_size"))
     runs = p.select("p_partkey", F.explode(classify.script_runs(text)).alias("r"))
     return runs.groupBy(F.col("r.align").alias("align"), F.col("r.chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q76_clean_tables")
+def q76(spark, d):
+    i, c = F.col("row_idx"), F.col("col_idx")
+    text = F.when((i % 5 == 4) & (c == 0), "(continued)").when(i % 5 == 4, "").otherwise(F.col("text"))
+    return cleaning.clean_tables(order_cells(spark, d).withColumn("text", text), order_headers(spark, d))["cells"]
+
+
+@query("q77_candidate_pages", """WITH s AS (SELECT DISTINCT o_custkey AS doc_id, (o_orderkey % 40)::INT AS page_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'caption' ELSE 'grid' END AS signal FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT DISTINCT o_custkey AS doc_id, (o_orderkey % 40)::INT AS page_idx FROM orders WHERE o_orderkey % 3 <> 0),
+dd AS (SELECT doc_id, page_idx, string_agg(signal, ',' ORDER BY signal) AS signals FROM s GROUP BY 1, 2), r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.doc_id = c.doc_id AND dd.page_idx = c.page_idx)),
+i AS (SELECT *, page_idx - row_number() OVER (PARTITION BY doc_id ORDER BY page_idx) AS k FROM r), g AS (SELECT doc_id, k, min(page_idx) AS a, max(page_idx) AS b FROM i GROUP BY 1, 2), l AS (SELECT g.* FROM g JOIN dd ON dd.doc_id = g.doc_id AND dd.page_idx + 1 = g.a)
+SELECT doc_id, page_idx, signals FROM dd UNION ALL SELECT doc_id, unnest(generate_series(a, least(b, a + 9)))::INT, 'continued' FROM l""")
+def q77(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 40).cast("int").alias("page_idx"), "o_orderkey")
+    signals = o.where("o_orderkey % 3 = 0").select("doc_id", "page_idx", F.when(F.col("o_orderkey") % 2 == 0, "caption").otherwise("grid").alias("signal"))
+    out = cleaning.candidate_pages(signals, o.where("o_orderkey % 3 <> 0").select("doc_id", "page_idx"))
+    return out.withColumn("signals", F.array_join("signals", ","))
+
+
+@query("q78_reconcile_sources")
+def q78(spark, d):
+    p = read(spark, d, "part")
+    x, y = (F.col("p_partkey") * 37 % 500).cast("double"), (F.col("p_size") * 14).cast("double")
+    label = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Table "), F.col("p_partkey"))).otherwise("")
+    native = p.select((F.col("p_partkey") % 100).alias("doc_id"), (F.col("p_partkey") % 7).alias("page_idx"), F.col("p_partkey").alias("box_id"), label.alias("label"), x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 60).alias("y1"))
+    other = native.where("box_id % 4 <> 1").withColumns({"x0": F.col("x0") + 9, "x1": F.col("x1") + 9, "page_idx": F.when(F.col("box_id") % 5 == 0, 99).otherwise(F.col("page_idx"))})
+    shared = native.where("box_id % 10 < 8").select(F.col("box_id").alias("native_id"), F.col("box_id").alias("other_id"), F.lit(0.8).alias("share"))
+    return cleaning.reconcile(native, other, shared)
+
+
+@query("q79_block_ratio")
+def q79(spark, d):
+    p = read(spark, d, "part")
+    a, b = (p.select("p_brand", "p_type", "p_size", F.col("p_partkey").alias(f"{s}_id"), F.col("p_name").alias(f"{s}_name")) for s in "ab")
+    both = a.join(b, ["p_brand", "p_type", "p_size"]).where("a_id < b_id")
+    return both.select("a_id", "b_id", F.round(block_ratio(F.col("a_name"), F.col("b_name")), 6).alias("ratio"))

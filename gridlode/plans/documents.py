@@ -222,13 +222,6 @@ def q75(spark, d):
     return runs.groupBy(F.col("r.align").alias("align"), F.col("r.chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q76_clean_tables")
-def q76(spark, d):
-    i, c = F.col("row_idx"), F.col("col_idx")
-    text = F.when((i % 5 == 4) & (c == 0), "(continued)").when(i % 5 == 4, "").otherwise(F.col("text"))
-    return cleaning.clean_tables(order_cells(spark, d).withColumn("text", text), order_headers(spark, d))["cells"]
-
-
 @query("q77_candidate_pages", """WITH s AS (SELECT DISTINCT o_custkey AS doc_id, (o_orderkey % 40)::INT AS page_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'caption' ELSE 'grid' END AS signal FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT DISTINCT o_custkey AS doc_id, (o_orderkey % 40)::INT AS page_idx FROM orders WHERE o_orderkey % 3 <> 0),
 dd AS (SELECT doc_id, page_idx, string_agg(signal, ',' ORDER BY signal) AS signals FROM s GROUP BY 1, 2), r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.doc_id = c.doc_id AND dd.page_idx = c.page_idx)),
 i AS (SELECT *, page_idx - row_number() OVER (PARTITION BY doc_id ORDER BY page_idx) AS k FROM r), g AS (SELECT doc_id, k, min(page_idx) AS a, max(page_idx) AS b FROM i GROUP BY 1, 2), l AS (SELECT g.* FROM g JOIN dd ON dd.doc_id = g.doc_id AND dd.page_idx + 1 = g.a)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialize, partitions
-from .textkit import Words, batches_of, mix, shingles, text_bytes
+from .textkit import Words, batches_of, mix, shingles, text_bytes, text_ranges
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -65,9 +65,9 @@ def fast_similarity_sketch(owner: np.ndarray, items: np.ndarray, n_sets: int, co
 def _sketches(n: int):
     def run(batches):
         for batch in batches:
-            texts, ids = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for begin, end in batches_of(texts):
-                doc, gram = shingles(Words(texts[begin:end], lower=True), n)
+            ids = batch.column("doc_id").to_pylist()
+            for begin, end, texts in text_ranges(batch.column("text")):
+                doc, gram = shingles(Words(texts, lower=True), n)
                 size = np.bincount(doc, minlength=end - begin)
                 table = fast_similarity_sketch(doc, gram, end - begin)
                 sums = []

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .models import Logistic, sigmoid
 from .store import materialize
-from .textkit import Words, batches_of, mix, text_bytes
+from .textkit import Words, mix, text_ranges
 
-MAX_LABELLED = 20_000
-MAX_POOL = 10_000
+MAX_LABELLED = 12_000
+MAX_POOL = 6_000
 ROUNDS = 5
 SHARE_A_ROUND = 0.04
 ONE_IN = 400
@@ -39,15 +39,15 @@ _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123
 TEXT_FEATURES = 22
 
 
-def text_features(texts: list[bytes | None]) -> np.ndarray:
-    """(n, TEXT_FEATURES): shares of byte classes, repetition of words, word and line lengths; bounded and scale-free."""
-    out = np.zeros((len(texts), TEXT_FEATURES))
+def text_features(column: pa.Array) -> np.ndarray:
+    """(n, TEXT_FEATURES) of a column of texts: shares of byte classes, repetition of words, word and line lengths; bounded and scale-free."""
+    out = np.zeros((len(column), TEXT_FEATURES))
     table = np.zeros((256, len(_CLASSES) + 1))
     for k, c in enumerate(_CLASSES):
         table[list(c), k] = 1
     table[128:, -1] = 1
-    for begin, end in batches_of(texts):
-        some = [t or b"" for t in texts[begin:end]]
+    for begin, end, texts in text_ranges(column):
+        some = [t or b"" for t in texts]
         sizes = np.array([len(t) for t in some])
         raw = np.frombuffer(b"".join(some), dtype=np.uint8)
         owner = np.repeat(np.arange(len(some)), sizes)
@@ -155,7 +155,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _both(b) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(text_bytes(b.column("text"))), meta_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+    return text_features(b.column("text")), meta_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
@@ -201,7 +201,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
 
     def run(batches):
         for b in batches:
-            text = text_features(text_bytes(b.column("text")))
+            text = text_features(b.column("text"))
             meta = meta_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
             yield b.filter(pa.array(model.scores(text, meta)[:, 2] >= model.cut))
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch in the stages that are written here.
+BATCH_ROWS = 1_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests on one machine)."""
@@ -25,7 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back. Later reads know its size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gridlode-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # texts are long: fewer rows in an Arrow batch keep executors small; the setting is the session's again afterwards
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

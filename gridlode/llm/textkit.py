@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed in one vectorised step.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+_ZERO = np.zeros(1, dtype=np.int8)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD_BASE = 0x9E3779B97F4A7C15
 GRAM_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -81,7 +83,7 @@ class Words:
                     seps = np.flatnonzero(_SEP[raw[at:stop]])
                 stop = at + int(seps[-1]) + 1 if len(seps) else len(raw)
             part = raw[at:stop]
-            edge = np.diff(np.concatenate([[0], (~_SEP[part]).view(np.int8), [0]]))
+            edge = np.diff(np.concatenate([_ZERO, (~_SEP[part]).view(np.int8), _ZERO]))
             s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             hashes.append(mix(_slices(part.astype(np.uint16) + np.uint16(1), _WORD_BASE, s, e) + (e - s).astype(np.uint64)))
             starts.append(s + at)
@@ -143,6 +145,16 @@ def batches_of(texts: list[bytes | None], limit: int = SEGMENT) -> list[tuple[in
     return out
 
 
+def text_ranges(column: pa.ChunkedArray | pa.Array, limit: int = SEGMENT):
+    """(begin, end, texts) of about ``limit`` bytes each: a batch's texts are Python objects only a range at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1
+    owner = np.cumsum(sizes) // limit
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(sizes)]])
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if end > begin:
+            yield begin, end, text_bytes(column.slice(begin, end - begin))
+
+
 def pack(values: np.ndarray) -> bytes:
     """Sorted unsigned integers as compressed byte planes of their differences."""
     if not len(values):

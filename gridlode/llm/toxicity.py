@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .models import BoostedTrees, Isotonic, sigmoid
-from .textkit import text_bytes
+from .textkit import text_ranges
 
 MAX_LABELLED = 40_000
 MAX_LEXICON = 1_000
@@ -96,8 +96,9 @@ def lexicon_features(text: str | None, lexicon: Lexicon) -> list[float]:
 SECOND = frozenset(SECOND_PERSON)
 
 
-def _matrix(texts: list[bytes | None], lexicon: Lexicon) -> np.ndarray:
-    return np.array([lexicon_features(t.decode("utf-8", "replace") if t else "", lexicon) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
+def _matrix(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    rows = [lexicon_features(t.decode("utf-8", "replace") if t else "", lexicon) for _, _, texts in text_ranges(column) for t in texts]
+    return np.array(rows, dtype=float).reshape(len(column), len(FEATURES))
 
 
 def held_out(doc_id) -> F.Column:
@@ -133,10 +134,10 @@ class ToxicityModel:
     def __init__(self, lexicon: Lexicon, trees: BoostedTrees | None, calibration: Isotonic | None, share: float):
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
 
-    def score(self, texts: list[bytes | None]) -> np.ndarray:
+    def score(self, column: pa.Array) -> np.ndarray:
         if self.trees is None:
-            return np.full(len(texts), self.share)
-        logit = self.trees.logit(_matrix(texts, self.lexicon))
+            return np.full(len(column), self.share)
+        logit = self.trees.logit(_matrix(column, self.lexicon))
         # isotonic steps are flat: a little of the trees' own score keeps the order within a step
         return np.clip(0.98 * self.calibration(logit) + 0.02 * sigmoid(logit), 0, 1)
 
@@ -150,7 +151,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def measure(batches):
         for b in batches:
-            x = _matrix(text_bytes(b.column("text")), lexicon)
+            x = _matrix(b.column("text"), lexicon)
             yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "toxic": b.column("toxic").cast(pa.int64()), "part": b.column("part").cast(pa.int64())})
 
     data = rows.where("part > 1").select("text", "toxic", "part").mapInArrow(measure, "x array<double>, toxic long, part long").toPandas()  # bounded by MAX_LABELLED
@@ -169,7 +170,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "score": pa.array(model.score(text_bytes(b.column("text"))))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "score": pa.array(model.score(b.column("text")))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 

@@ -214,7 +214,7 @@ def xml_tables(xml: str) -> list[dict]:
     return out
 
 
-def _scan(docs: DataFrame, column: str, parse) -> DataFrame:
+def _scan(docs: DataFrame, column: str, parse, needle: str = "table") -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
@@ -227,7 +227,7 @@ def _scan(docs: DataFrame, column: str, parse) -> DataFrame:
     from pyspark.sql import functions as F
 
     # markup without a table never reaches Python
-    pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("markup")).where(F.lower("markup").contains("table"))
+    pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("markup")).where(F.lower("markup").rlike(needle))
     return pages.mapInPandas(run, CELL_DDL)
 
 
@@ -239,3 +239,40 @@ def scan_html(docs: DataFrame, column: str = "html") -> DataFrame:
 def scan_xml(docs: DataFrame, column: str = "xml") -> DataFrame:
     """Cells of the tables in (doc_id, xml): JATS and CALS."""
     return _scan(docs, column, xml_tables)
+
+
+def mixed_tables(text: str) -> list[dict]:
+    """Tables of recognised text that mixes HTML and Markdown, in document order; a caption is the last label line since the table before."""
+    out: list[dict] = []
+    caption = ""
+    for piece in re.split(r"(?is)(<table\b.*?</table>)", text or ""):
+        if piece[:6].lower() == "<table":
+            for t in html_tables(piece):
+                label = _LABEL.match(t["caption"] or caption)
+                out.append(t | {"caption": t["caption"] or caption, "label": label[1] if label else ""})
+            caption = ""
+            continue
+        rows: list[str] = []
+        for line in [*piece.split("\n"), ""]:
+            s = line.strip()
+            if len(s) > 1 and s[0] == "|" and s[-1] == "|":
+                rows.append(s)
+                continue
+            if rows:
+                cells = [[c.strip() for c in r[1:-1].split("|")] for r in rows]
+                rule = [all(re.fullmatch(r":?-+:?", c) for c in r) and len(r) > 1 for r in cells]
+                body = [r for r, skip in zip(cells, rule, strict=True) if not skip]
+                width = max((len(r) for r in body), default=0)
+                if body:
+                    head = len(rule) > 1 and rule[1]
+                    label = _LABEL.match(caption)
+                    out.append({"label": label[1] if label else "", "caption": caption, "header_source": "explicit" if head else "inferred", "footnotes": [], "grid": [[(c, head and not i) for c in r + [""] * (width - len(r))] for i, r in enumerate(body)]})
+                rows, caption = [], ""
+            if _LABEL.match(s):
+                caption = s
+    return out
+
+
+def scan_mixed(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Cells of the tables in (doc_id, text) that mixes HTML and Markdown."""
+    return _scan(docs, column, mixed_tables, needle="table|\\|")

@@ -12,6 +12,13 @@ def test_html_spans_scripts_and_bad_markup():
     assert len(markup.html_tables("<table><tr><td>a</td></tr></table>" * 2)) == 1
 
 
+def test_mixed_text_keeps_its_order(spark):
+    text = "Table 1. One\n| a | b |\n|---|---|\n| 1 | 2 |\nmore\nTable 2. Two\n<table><tr><th>x</th></tr><tr><td>9</td></tr></table>\n| lone | y |"
+    got = markup.mixed_tables(text)
+    assert [(t["label"], [[c[0] for c in r] for r in t["grid"]]) for t in got] == [("Table 1", [["a", "b"], ["1", "2"]]), ("Table 2", [["x"], ["9"]]), ("", [["lone", "y"]])]
+    assert markup.scan_mixed(spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")).count() == 8
+
+
 def test_jats_and_cals():
     jats = '<a xmlns="u"><table-wrap><label>Table 1</label><caption><p>Rocks</p></caption><table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td rowspan="2">1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table><table-wrap-foot><fn>note</fn></table-wrap-foot></table-wrap></a>'
     (t,) = markup.xml_tables(jats)

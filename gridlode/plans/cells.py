@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import profile, shape
-from .fixtures import CELLS_SQL, NAMES, ROWS_SQL, data_value_sql, order_cells, order_headers, order_rows, read
+from .fixtures import CELLS_SQL, ROWS_SQL, data_value_sql, order_cells, order_headers, order_rows, read
 
 QUERIES, SQL = {}, {}
 
@@ -235,6 +235,3 @@ def q53(spark, d):
     by_table = order_cells(spark, d).groupBy("table_id").agg(F.countDistinct("col_idx").alias("cols"), F.count(F.lit(1)).alias("cells"), F.count_if(F.trim(text) != "").alias("filled"), F.count_if(t.is_data_value(text)).alias("vals"))
     out = by_table.join(segment, "table_id").rollup("c_mktsegment").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("cols").alias("n_columns"), F.sum("cells").alias("n_cells"), F.sum("filled").alias("f"), F.sum("vals").alias("v"))
     return out.select("c_mktsegment", "n_tables", "n_columns", "n_cells", F.round(F.col("f") / F.col("n_cells"), 6).alias("fill_ratio"), F.round(F.col("v") / F.col("f"), 6).alias("value_ratio"))
-
-
-del NAMES

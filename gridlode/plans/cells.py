@@ -107,6 +107,13 @@ def q12(spark, d):
     return toks.where(F.length("tok") <= 15).groupBy("source", F.col("tok").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("q80_all_numeric_tokens")
+def q80(spark, d):
+    """Every numeric token by its canonical value; q12 counts bare runs of digits of at most 15 characters only, which its SQL can compare as doubles."""
+    toks = read(spark, d, "documents").select("source", F.explode(t.numeric_tokens(F.col("text"))).alias("value"))
+    return toks.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SQUEEZED = "table_id, row_idx, col_idx, CASE WHEN col_idx = 1 AND table_id % 3 = 0 THEN qty || ' ' || price WHEN col_idx = 1 THEN qty WHEN col_idx = 2 THEN price ELSE 'S' || l_partkey END AS text"
 _SQUEEZED_CTE = f"""{ROWS_SQL}, base AS (SELECT table_id, row_idx, l_partkey, l_quantity::DECIMAL(18,2)::VARCHAR AS qty, l_extendedprice::DECIMAL(18,2)::VARCHAR AS price FROM order_rows),
 cells AS (SELECT {_SQUEEZED} FROM base CROSS JOIN (VALUES (0), (1), (2)) c(col_idx)),

@@ -1,7 +1,12 @@
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridlode.functions import text as t
+from gridlode.plans import QUERIES
 
 
 def check(spark, rows, kind, f):
@@ -65,3 +70,28 @@ def test_page_ranges(spark):
 @pytest.mark.parametrize(("text", "want"), [("Table S3", True), ("Appendix 2", True), ("SI Table 1", True), ("Si_ppm", False), ("Samples S1-S5", False), ("S1", True), ("附表 1", True), ("Table 3", False)])
 def test_supplementary(spark, text, want):
     check(spark, [(text, want)], "boolean", t.is_supplementary)
+
+
+def numbers_of(text):
+    """N3 in plain Python."""
+    s = re.sub(r"(?<=\d),(?=\d)", "", text or "")
+    s = re.sub(r"(?<=\d)\s*[-–~至到]\s*(?=\d)", " ", s)
+    return [f"{float(x):g}" for x in re.findall(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", s)]
+
+
+def number_texts():
+    rng = np.random.default_rng(3)
+    texts = ["1,234.5", "-5 +7", "1e-3", "10-20", "10 – 20", "3~4 5至6 7\u00a0到\u30008", "1,2,3", "-0 -0.0 +0", "1e999 -1e999 1e-999 -1e-999", "99999.95 999999.5 0.0001 0.00001", "１２.5", "a1b2-3", "", None, "x", "4111 1111-1111"]
+    texts += [" ".join(str(n) for n in rng.integers(10**k, 10 ** (k + 1), 40)) for k in range(18)] + ["9" * n for n in range(14, 60)]
+    # seven digits that end in 5: the double's own side of the middle decides, half to even
+    return texts + [" ".join(f"{n}5"[:k] + "." + f"{n}5"[k:] for n in rng.integers(100_000, 999_999, 60)) for k in range(1, 7)] + [" ".join(f"{n}5e{k}" for n in rng.integers(100_000, 999_999, 30)) for k in range(-20, 16)]
+
+
+def test_numeric_tokens_are_those_of_plain_python(spark, tmp_path):
+    texts = number_texts()
+    rows = spark.createDataFrame([(str(i % 3), x) for i, x in enumerate(texts)], "source string, text string")
+    got = rows.select("text", t.numeric_tokens(F.col("text")).alias("got")).collect()
+    assert all((r.got or []) == numbers_of(r.text) for r in got), [(a, b) for r in got for a, b in zip(r.got or [], numbers_of(r.text), strict=False) if a != b][:5]
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((str(i % 3), x) for i, text in enumerate(texts) for x in numbers_of(text))
+    assert {(r.source, r.value): r.n for r in QUERIES["q80_all_numeric_tokens"](spark, str(tmp_path)).collect()} == want

@@ -17,21 +17,46 @@ class Logistic:
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
         weight = np.ones(len(y)) if weight is None else weight
-        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        self.begin(*(x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1])))
         z = self._design(x)
-        self.coef = np.zeros(z.shape[1])
-        ridge = np.full(z.shape[1], self.l2)
-        ridge[0] = 1e-6
         for _ in range(self.steps):
-            p = sigmoid(z @ self.coef)
-            slope = z.T @ (weight * (p - y)) + ridge * self.coef
-            curve = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge)
-            move = np.linalg.solve(curve, slope)
-            self.coef -= move * min(1.0, 5.0 / (np.abs(move).max() + 1e-12))
-            if np.abs(move).max() < 1e-6:
+            if self.step(*self.sums(z, y, weight)) < 1e-6:
                 break
         return self
 
+    def begin(self, mean: np.ndarray, scale: np.ndarray) -> Logistic:
+        self.mean, self.scale, self.coef = mean, scale, np.zeros(len(mean) + 1)
+        return self
+
+    def sums(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second derivatives of the loss over rows of the design; those of parts of the rows add up."""
+        p = sigmoid(z @ self.coef)
+        return z.T @ (weight * (p - y)), (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z
+
+    def loss(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+        logit = z @ self.coef
+        return float((weight * (np.logaddexp(0, logit) - y * logit)).sum())
+
+    def _ridge(self) -> np.ndarray:
+        return np.concatenate([[1e-6], np.full(len(self.coef) - 1, self.l2)])
+
+    def step(self, slope: np.ndarray, curve: np.ndarray) -> float:
+        """A Newton step by the sums over all rows; how far the coefficients were to move."""
+        ridge = self._ridge()
+        move = np.linalg.solve(curve + np.diag(ridge), slope + ridge * self.coef)
+        self.coef = self.coef - move * min(1.0, 5.0 / (np.abs(move).max() + 1e-12))
+        return float(np.abs(move).max())
+
+    def guarded_step(self, loss: float, slope: np.ndarray, curve: np.ndarray, best: list) -> float:
+        """``step``, but where the last one made the loss larger, half of it instead. ``best``: loss and coefficients of the best step so far, empty at first."""
+        total = loss + float((self._ridge() * self.coef**2).sum()) / 2
+        if best and total > best[0] + 1e-9 * abs(best[0]):
+            moved = self.coef - best[1]
+            self.coef = best[1] + moved / 2
+            return float(np.abs(moved).max())
+        best[:] = [total, self.coef]
+        return self.step(slope, curve)
+
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.ones((len(x), 1)), np.clip((x - self.mean) / self.scale, -8, 8)], axis=1)
 

@@ -2,13 +2,17 @@
 
 The text view sees dense features of the content (byte classes, repetition, words, lines); the metadata view sees only the page's
 columns: language, source and size. Each view has a logistic classifier, fitted on labelled rows. Over ROUNDS rounds each
-view labels the rows of an unlabelled pool of which it is most confident, in the proportion of the classes, for the
-other view, and both are fitted again. Each view is then calibrated on labelled rows that no fit has seen, and a last
-logistic model on the two calibrated logits scores every document.
+view labels the unlabelled documents of which it is most confident (SHARE_A_ROUND of all, in the proportion of the
+classes) for the other view, and both are fitted again. Each view is then calibrated on labelled rows that no fit has seen,
+and a last logistic model on the two calibrated logits scores every document.
+
+The pool is every unlabelled document. Its features are written once; a round is one pass for the histograms of the logits,
+which give the bounds of the most confident share, and one pass for each Newton step, which brings only sums of
+derivatives to the driver. What a row was given follows from the earlier rounds' coefficients and bounds, so no state is kept.
 
 A document is kept if its score is at least the cut: 0.5, or lower if 0.5 would reject more than ONE_IN of the good
-calibration rows. At most MAX_LABELLED labelled and MAX_POOL unlabelled rows are used for fitting (the smallest by
-a hash of doc_id); every document is scored, with its whole text.
+calibration rows. At most MAX_LABELLED labelled rows are used for fitting (the smallest by a hash of doc_id), and all
+unlabelled ones with a doc_id; every document is scored, with its whole text.
 
 Defined results: null and empty texts have zero text features; null columns are values of their own; without labels of
 both kinds every score is the share of good labels (1 without labels) and everything is kept; rows that repeat a
@@ -28,11 +32,17 @@ from .models import Logistic, sigmoid
 from .store import materialize
 from .textkit import Words, mix, text_ranges
 
-MAX_LABELLED = 12_000
-MAX_POOL = 6_000
+MAX_LABELLED = 20_000
 ROUNDS = 5
 SHARE_A_ROUND = 0.04
 ONE_IN = 400
+#: A view is confident below 0.1 and above 0.9; its logits, cut at LARGEST, are counted in BINS.
+CONFIDENT = float(np.log(9))
+LARGEST = 40
+BINS = 4_096
+GIVEN_WEIGHT = 0.5
+NEWTON_STEPS = 25
+NEAR_ENOUGH = 1e-3
 SOURCE_SLOTS = 64
 LANG_SLOTS = 16
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!", b"?", b"|", b"#$%&*@^~_=+<>[]{}\\/`")
@@ -86,19 +96,30 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
+def _slots(values: list, slots: int) -> np.ndarray:
+    found = {v: zlib.crc32(str(v).encode()) % slots for v in set(values)}
+    return np.array([found[v] for v in values], dtype=np.int32)
+
+
+def meta_matrix(lang: np.ndarray, source: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+    """Of slots of language and source, and sizes (NaN where null)."""
     out = np.zeros((len(lang), LANG_SLOTS + SOURCE_SLOTS + 6))
-    for i, (a, b, c) in enumerate(zip(lang, source, n_chars, strict=True)):
-        out[i, zlib.crc32(str(a).encode()) % LANG_SLOTS] = 1
-        out[i, LANG_SLOTS + zlib.crc32(str(b).encode()) % SOURCE_SLOTS] = 1
-        size = np.log1p(max(0, c or 0)) / 10
-        out[i, LANG_SLOTS + SOURCE_SLOTS :] = (size, size**2, c is None, (c or 0) < 40, (c or 0) < 200, (c or 0) > 20_000)
+    at = np.arange(len(lang))
+    out[at, lang] = 1
+    out[at, LANG_SLOTS + source] = 1
+    c = np.nan_to_num(n_chars)
+    size = np.log1p(np.maximum(0, c)) / 10
+    out[:, LANG_SLOTS + SOURCE_SLOTS :] = np.stack([size, size**2, np.isnan(n_chars), c < 40, c < 200, c > 20_000], axis=1)
     return out
 
 
+def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
+    return meta_matrix(_slots(lang, LANG_SLOTS), _slots(source, SOURCE_SLOTS), np.array([np.nan if c is None else c for c in n_chars], dtype=float))
+
+
 class QualityModel:
     def __init__(self, share: float):
-        self.share, self.views, self.cut = share, None, 0.0
+        self.share, self.views, self.cut, self.pool_rows, self.history = share, None, 0.0, 0, []
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """(n, 3): the two calibrated views and the combination."""
@@ -108,38 +129,130 @@ class QualityModel:
         return np.stack([sigmoid(logits[0]), sigmoid(logits[1]), sigmoid(self.joint.logit(np.stack(logits, axis=1)))], axis=1)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
-    """Rows are in a random order; a third of the labelled ones is kept for calibration."""
+def _bins(logit: np.ndarray) -> np.ndarray:
+    return np.clip((logit + LARGEST) * (BINS / (2 * LARGEST)), 0, BINS - 1).astype(int)
+
+
+def given_labels(z: list[np.ndarray], draw: np.ndarray, history: list) -> list[np.ndarray]:
+    """For each view, the label that the other one gave a row in the rounds of ``history``, or -1. ``draw``, from 0 to 1, decides within the last bin."""
+    given = [np.full(len(draw), -1.0), np.full(len(draw), -1.0)]
+    for coefs, bounds in history:
+        for v, (low, low_share, high, high_share) in enumerate(bounds):
+            logit = z[v] @ coefs[v]
+            at, mine = _bins(logit), given[1 - v]
+            free = mine < 0
+            mine[free & (logit < -CONFIDENT) & ((at < low) | ((at == low) & (draw < low_share)))] = 0.0
+            mine[free & (logit > CONFIDENT) & ((at > high) | ((at == high) & (draw < high_share)))] = 1.0
+    return given
+
+
+def _count(z: list[np.ndarray], draw: np.ndarray, history: list, coefs: list[np.ndarray]) -> np.ndarray:
+    """For each view, the histogram of the logits of which it is confident, over rows that the other view was not given."""
+    given = given_labels(z, draw, history)
+    out = np.zeros((2, BINS))
+    for v in (0, 1):
+        logit = (z[v] @ coefs[v])[given[1 - v] < 0]
+        out[v] = np.bincount(_bins(logit[np.abs(logit) > CONFIDENT]), minlength=BINS)
+    return out.ravel()
+
+
+def _derive(z: list[np.ndarray], draw: np.ndarray, history: list, views: list[Logistic]) -> np.ndarray:
+    """The sums of both views over the rows that they were given."""
+    out = []
+    for view, x, marks in zip(views, z, given_labels(z, draw, history), strict=True):
+        x, marks = x[marks >= 0], marks[marks >= 0]
+        weight = np.full(len(marks), GIVEN_WEIGHT)
+        slope, curve = view.sums(x, marks, weight)
+        out += [[view.loss(x, marks, weight)], slope, curve.ravel()]
+    return np.concatenate(out)
+
+
+def _moments(x: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[float(len(x[0]))], *[f for m in x for f in (m.sum(axis=0), (m**2).sum(axis=0))]])
+
+
+def most_confident(histogram: np.ndarray, bad: int, good: int) -> tuple[int, float, int, float]:
+    """Bin and share of it up to which the lowest ``bad`` logits go, and from which the highest ``good``."""
+    ends = []
+    for counts, wanted in ((histogram[: BINS // 2], bad), (histogram[: BINS // 2 - 1 : -1], good)):
+        total = np.cumsum(counts)
+        at = int(np.searchsorted(total, wanted))
+        ends += [at, 1.0 if at == len(counts) else float((wanted - (total[at] - counts[at])) / max(1, counts[at]))]
+    return ends[0], ends[1], BINS - 1 - ends[2], ends[3]
+
+
+class ArrayPool:
+    """Unlabelled rows as arrays: ``gather`` sums a function of both views' features and the draws."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, draw: np.ndarray):
+        self.parts = (text, meta, draw)
+
+    def gather(self, f) -> np.ndarray | float:
+        return f([self.parts[0], self.parts[1]], self.parts[2]) if len(self.parts[2]) else 0.0
+
+
+class TablePool:
+    """The same of a table of features: each task sends one row of sums."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def gather(self, f) -> np.ndarray | float:
+        def run(batches):
+            total = 0.0
+            for b in batches:
+                if b.num_rows:
+                    total = total + f(list(_measured(b)), draws(b.column("doc_id").to_numpy()))
+            if np.ndim(total):
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+        return sum((np.frombuffer(r["sums"]) for r in self.table.mapInArrow(run, "sums binary").collect()), 0.0)
+
+
+def draws(doc_id: np.ndarray) -> np.ndarray:
+    """From 0 to 1, by a hash of doc_id."""
+    return mix(doc_id.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: ArrayPool | TablePool, rounds: int = ROUNDS) -> QualityModel:
+    """Labelled rows are in a random order; a third of them is kept for calibration."""
     model = QualityModel(float(y.mean()) if len(y) else 1.0)
     rest = np.arange(len(y)) % 3 == 2
     if len(np.unique(y[~rest])) < 2 or len(np.unique(y[rest])) < 2:
         return model
-    labelled, pool = (text[~rest], meta[~rest]), (pool_text, pool_meta)
     good = y[~rest].mean()
-    given: list[dict[int, float]] = [{}, {}]  # of each view: row of the pool -> label from the other view
-    views: list[Logistic] = []
+    sums = _moments([text[~rest], meta[~rest]])
+    unlabelled = pool.gather(lambda x, draw: _moments(x))
+    n = int(unlabelled[0]) if np.ndim(unlabelled) else 0
+    sums, views, at = sums + unlabelled, [], 1
+    for k in (text.shape[1], meta.shape[1]):
+        mean, square = sums[at : at + k] / sums[0], sums[at + k : at + 2 * k] / sums[0]
+        views.append(Logistic().begin(mean, np.sqrt(np.maximum(0, square - mean**2)) + 1e-9))
+        at += 2 * k
+    labelled = [v._design(x[~rest]) for v, x in zip(views, (text, meta), strict=True)]
+    history: list = []
     for r in range(rounds + 1):
-        views = []
-        for v in (0, 1):
-            rows = np.fromiter(given[v], dtype=int, count=len(given[v]))
-            marks = np.fromiter(given[v].values(), dtype=float, count=len(given[v]))
-            weight = np.concatenate([np.ones(len(labelled[v])), np.full(len(rows), 0.5)])
-            views.append(Logistic().fit(np.concatenate([labelled[v], pool[v][rows]]), np.concatenate([y[~rest], marks]), weight))
-        if r == rounds or not len(pool_text):
+        best: list[list] = [[], []]
+        for _ in range(NEWTON_STEPS):
+            added = pool.gather(lambda x, draw: _derive([v._design(m) for v, m in zip(views, x, strict=True)], draw, history, views)) if history else 0.0
+            at, moved = 0, 0.0
+            for view, z, kept in zip(views, labelled, best, strict=True):
+                ones = np.ones(len(z))
+                loss, (slope, curve) = view.loss(z, y[~rest], ones), view.sums(z, y[~rest], ones)
+                k = len(slope)
+                if np.ndim(added):
+                    loss, slope, curve = loss + added[at], slope + added[at + 1 : at + 1 + k], curve + added[at + 1 + k : at + 1 + k + k * k].reshape(k, k)
+                at += 1 + k + k * k
+                moved = max(moved, view.guarded_step(loss, slope, curve, kept))
+            if moved < (NEAR_ENOUGH if history else 1e-6):
+                break
+        if r == rounds or not n:
             break
-        for v in (0, 1):
-            other = 1 - v
-            p = sigmoid(views[v].logit(pool[v]))
-            free = np.array([i for i in range(len(p)) if i not in given[other]], dtype=int)
-            take = max(1, int(SHARE_A_ROUND * len(p)))
-            order = free[np.argsort(p[free], kind="stable")]
-            bad_n = max(1, round(take * (1 - good)))
-            for i in order[:bad_n]:
-                if p[i] < 0.1:
-                    given[other][int(i)] = 0.0
-            for i in order[::-1][: take - bad_n]:
-                if p[i] > 0.9:
-                    given[other][int(i)] = 1.0
+        counts = pool.gather(lambda x, draw: _count([v._design(m) for v, m in zip(views, x, strict=True)], draw, history, [v.coef for v in views])).reshape(2, BINS)
+        take = max(1, int(SHARE_A_ROUND * n))
+        bad = max(1, round(take * (1 - good)))
+        history.append(([v.coef for v in views], [most_confident(c, bad, take - bad) for c in counts]))
+    model.pool_rows, model.history = n, history
     model.views = views
     logits = [v.logit(x[rest])[:, None] for v, x in zip(views, (text, meta), strict=True)]
     model.calibrations = [Logistic(l2=0.1).fit(z, y[rest]) for z in logits]
@@ -158,25 +271,37 @@ def _both(b) -> tuple[np.ndarray, np.ndarray]:
     return text_features(b.column("text")), meta_features(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    free = docs.select("doc_id").where("doc_id is not null").join(marks, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POOL)
-    wanted = materialize(picked.select("doc_id", F.col("quality").cast("int").alias("quality")).union(free.select("doc_id", F.lit(-1))), "fit")
+def _measured(b) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch of the table of features."""
+    lang, source, n_chars = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "source", "n_chars"))
+    return b.column("text").flatten().to_numpy().reshape(-1, TEXT_FEATURES), meta_matrix(lang, source, n_chars)
+
+
+def feature_table(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of all rows with a doc_id, with ``quality`` (null if unlabelled), and the ids of the labelled rows to fit on."""
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
 
     def measure(batches):
         for b in batches:
-            text, meta = _both(b)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "quality": b.column("quality").cast(pa.int32()), "text": pa.array(list(text), pa.list_(pa.float64())), "meta": pa.array(list(meta.astype(np.float32)), pa.list_(pa.float32()))})
+            sizes = [np.nan if c is None else float(c) for c in b.column("n_chars").to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column("doc_id").cast(pa.int64()), "text": pa.array(list(text_features(b.column("text"))), pa.list_(pa.float64())),
+                "lang": _slots(b.column("lang").to_pylist(), LANG_SLOTS), "source": _slots(b.column("source").to_pylist(), SOURCE_SLOTS), "n_chars": pa.array(sizes, pa.float64()),
+            })
+
+    features = _columns(docs).where("doc_id is not null").mapInArrow(measure, "doc_id long, text array<double>, lang int, source int, n_chars double")
+    return materialize(features.join(marks, "doc_id", "left"), "features"), marks.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
 
-    # MAX_LABELLED + MAX_POOL ids are broadcast at most, and so many rows of features come to the driver
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id").mapInArrow(measure, "doc_id long, quality int, text array<double>, meta array<float>").toPandas()
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
+    table, picked = feature_table(docs, labels)
+    # MAX_LABELLED ids are broadcast at most, and so many rows of features come to the driver
+    rows = table.where("quality is not null").join(F.broadcast(picked), "doc_id").toPandas()
     if not len(rows):
         return QualityModel(1.0)
     rows = rows.iloc[np.argsort(mix(rows["doc_id"].to_numpy().astype(np.uint64)), kind="stable")]
-    text, meta, y = np.stack(rows["text"].to_list()), np.stack(rows["meta"].to_list()).astype(float), rows["quality"].to_numpy()
-    known = y >= 0
-    return co_train(text[known], meta[known], y[known].astype(float), text[~known], meta[~known])
+    text, meta = np.stack(rows["text"].to_list()), meta_matrix(*(rows[c].to_numpy() for c in ("lang", "source", "n_chars")))
+    return co_train(text, meta, rows["quality"].to_numpy(dtype=float), TablePool(table.where("quality is null").drop("quality")))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

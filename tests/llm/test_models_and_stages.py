@@ -68,6 +68,31 @@ def test_quality_keeps_good_and_drops_bad(labelled):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.score_quality(docs, model).where("kept").collect()}
 
 
+def test_quality_pool_is_every_unlabelled_row(spark):
+    rows = spark.range(26_000).selectExpr("id AS doc_id", "CASE WHEN id % 5 = 0 THEN repeat('spam!! ', 3 + cast(id % 50 AS int)) ELSE concat('The ', id, ' quiet rivers of ', id * 7, ' towns ran on.') END AS text", "'en' AS lang", "concat('s', IF(id % 5 = 0, 9, id % 3)) AS source")
+    docs = rows.selectExpr("*", "cast(length(text) AS long) AS n_chars")
+    labels = rows.where("doc_id % 13 = 0").selectExpr("doc_id", "cast(doc_id % 5 <> 0 AS int) AS quality")
+    model = quality.fit_quality(docs, labels)
+    assert model.pool_rows == 24_000
+    table, _ = quality.feature_table(docs, labels)
+    pool = table.where("quality is null").toPandas()
+    text, meta = np.stack(pool["text"].to_list()), quality.meta_matrix(*(pool[c].to_numpy() for c in ("lang", "source", "n_chars")))
+    draw = quality.draws(pool["doc_id"].to_numpy())
+    given = quality.given_labels([v._design(x) for v, x in zip(model.views, (text, meta), strict=True)], draw, model.history)
+    # five rounds of 4 % of all unlabelled rows, not of a sample of them
+    assert all(2_000 < (g >= 0).sum() <= 4_900 for g in given)
+    # the same fit with the pool as arrays, and bounds like those of a sort
+    known = table.where("quality is not null").toPandas()
+    known = known.iloc[np.argsort(quality.mix(known["doc_id"].to_numpy().astype(np.uint64)), kind="stable")]
+    arrays = np.stack(known["text"].to_list()), quality.meta_matrix(*(known[c].to_numpy() for c in ("lang", "source", "n_chars")))
+    same = quality.co_train(*arrays, known["quality"].to_numpy(dtype=float), quality.ArrayPool(text, meta, draw))
+    assert np.allclose(same.scores(text, meta), model.scores(text, meta), atol=1e-3)
+    logit = np.random.default_rng(1).normal(0, 6, 5000)
+    low, low_share, high, high_share = quality.most_confident(np.bincount(quality._bins(logit), minlength=quality.BINS), 300, 200)
+    width = 2 * quality.LARGEST / quality.BINS
+    assert abs((low + low_share) * width - quality.LARGEST - np.sort(logit)[299]) < 2 * width and abs((high + 1 - high_share) * width - quality.LARGEST - np.sort(logit)[-200]) < 2 * width
+
+
 def test_quality_odd_rows_and_tables(make_docs, odd_rows, labelled):
     _, labels, _ = labelled
     odd = make_docs(odd_rows, extra=True)

@@ -80,14 +80,15 @@ def lexicon_features(text: str | None, lexicon: Lexicon) -> list[float]:
     tokens = text.split()
     odd = [s for t in tokens if not t.isalpha() and not (s := t.strip(_EDGES)).isalpha()]
     hidden = [h for t in odd for h in _HIDDEN.findall(t)]
-    apart = _APART.findall(text) if sum(len(t) == 1 for t in tokens) > 3 else []
+    apart = _APART.findall(text)
     plain = [re.sub(r"[\W\d_]", "", h.lower().translate(_PLAIN)) for h in hidden] + [re.sub(r"[\W\d_]", "", h.lower()) for h in hidden + apart]
     found = sum(p in lexicon.words for p in plain)
     lines = text.split("\n")
     marked = sum(any(w in kinds for w in _WORD.findall(line.lower())) for line in lines) / len(lines) if hits else 0.0
     size = max(1, len(text))
+    capitals = sum(map(text.count, _CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
     return [
-        len(at) / max(1, n), len(by_stem) / max(1, n), min(50, len(at)), min(50, len(by_stem)), min(30, len(kinds)), marked, near, len(second) / max(1, n), sum(map(text.count, _CAPITALS)) / size,
+        len(at) / max(1, n), len(by_stem) / max(1, n), min(50, len(at)), min(50, len(by_stem)), min(30, len(kinds)), marked, near, len(second) / max(1, n), capitals / size,
         sum(len(w) > 1 and w.isupper() for w in cased) / max(1, n), text.count("!") / size, text.count("?") / size, sum(map(text.count, "#$%&*@")) / size,
         (len(hidden) + len(apart)) / max(1, n), found, np.log1p(n), min(100.0, sum(kinds.values())), max(kinds.values(), default=0.0),
     ]

@@ -46,6 +46,17 @@ def test_toxicity_on_held_out_rows(labelled):
     assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in got]) > 0.95
 
 
+@pytest.mark.parametrize("text", ['you are an "i d i o t"', "you f o o l!", "(f o o l)", "f.o o.l"])
+def test_words_spelled_apart_are_found_beside_marks(text):
+    found = dict(zip(toxicity.FEATURES, toxicity.lexicon_features(text, toxicity.Lexicon({"idiot": 3.0, "fool": 3.0})), strict=True))
+    assert found["hidden_found"] >= 1 and found["hidden_rate"] > 0
+
+
+def test_capitals_of_all_scripts_count():
+    share = toxicity.FEATURES.index("capital_share")
+    assert [toxicity.lexicon_features(t, toxicity.Lexicon({}))[share] for t in ("ÉÀb", "ДАнет", "ABc", "")] == [2 / 3, 2 / 5, 2 / 3, 0]
+
+
 def test_toxicity_odd_rows_and_tables(make_docs, odd_rows, labelled, spark):
     docs, labels, _ = labelled
     model = toxicity.fit_toxicity(docs, labels)

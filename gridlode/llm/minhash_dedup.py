@@ -4,7 +4,8 @@ sketch     ``COORDS`` coordinates for each set of word shingles. In round r ever
            bin with a hashed value; rounds go on until every bin is full, and after COORDS rounds round r fills bin
            r - COORDS, so that each coordinate is filled for every non-empty set. Small sets get a sketch as sharp
            as large ones, and estimates concentrate as those of independent minima do.
-copies     equal sets are one vertex: the smallest doc_id that has the set.
+copies     texts with the same words in the same order (SHA-256 of the lower-cased words) are one vertex: the
+           smallest doc_id that has them. Equal sets of other texts are found and verified like all other links.
 bands      BANDS bands of ROWS coordinates. At similarity 0.85 a pair shares no band with probability 7e-9, at 0.80
            with 3e-6.
 blocks     members of a band value are compared by their sketches (one byte a coordinate) in blocks of at most
@@ -12,22 +13,26 @@ blocks     members of a band value are compared by their sketches (one byte a co
            sketches agree in less than the threshold less MARGIN are passed over (about 4.5 standard deviations).
 verify     first a spanning forest of the best pairs of each block, so that a group of k copies costs k exact
            checks and not k * k; then all pairs that remain between different components. A link counts only if
-           the full shingle sets say so.
+           the full shingle sets say so: words are numbered by their bytes and shingles by their words, no hash decides.
 
 Defined results: null or empty texts have no shingles, stay alone and are kept; a text of 1 to 4 words is one shingle;
-rows that repeat a doc_id and its text are copies; a null doc_id takes no part (component_id null, kept false).
+rows that repeat a doc_id and its text are copies; rows that repeat a doc_id with other texts are one document, which is linked if
+any of its texts is; a null doc_id takes no part (component_id null, kept false).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .skew import heavy_copies, join_counted, salted_join
 from .store import materialize, partitions
-from .textkit import Words, batches_of, mix, shingles, text_bytes, text_ranges
+from .textkit import Words, batches_of, lowered, mix, shingles, text_bytes, text_ranges
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -39,7 +44,7 @@ BROADCAST_IDS = 200_000
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
+_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -70,18 +75,14 @@ def _sketches(n: int):
                 doc, gram = shingles(Words(texts, lower=True), n)
                 size = np.bincount(doc, minlength=end - begin)
                 table = fast_similarity_sketch(doc, gram, end - begin)
-                sums = []
-                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(gram ^ np.uint64(salt)), dtype=np.uint64)])
-                    cuts = np.searchsorted(doc, np.arange(end - begin + 1))
-                    sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
                 key = np.zeros((end - begin, BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + table[:, r : BANDS * ROWS : ROWS] + np.uint64(1))
                 key = mix(key ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                tiny = np.concatenate([(mix(table) & np.uint64(0xFF)).astype(np.uint8), np.ascontiguousarray(key).view(np.uint8).reshape(end - begin, BANDS, 8)[:, :, :4].reshape(end - begin, -1)], axis=1)
+                tiny = np.concatenate([(mix(table) & np.uint64(0xFF)).astype(np.uint8), np.ascontiguousarray(key).view(np.uint8).reshape(end - begin, -1)], axis=1)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids[begin:end], pa.int64()), "n_shingles": pa.array(size, pa.int64()), "h1": sums[0], "h2": sums[1],
+                    "doc_id": pa.array(ids[begin:end], pa.int64()), "n_shingles": pa.array(size, pa.int64()),
+                    "digest": pa.array([hashlib.sha256(b" ".join(lowered(t or b"").split())).digest() for t in texts], pa.binary()),
                     "bands": pa.array([k if s else [] for k, s in zip(key, size, strict=True)], pa.list_(pa.int64())),
                     "sketch": pa.array([t.tobytes() for t in tiny], pa.binary()),
                 })
@@ -90,9 +91,11 @@ def _sketches(n: int):
 
 
 def _first_shared(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of the first band that both share."""
-    prints = np.ascontiguousarray(sketch[:, COORDS:]).view(np.uint32)
-    return (prints[a] == prints[b]).argmax(axis=1)
+    """Number of the first band of which both have the same (whole) key."""
+    keys, out = np.ascontiguousarray(sketch[:, COORDS:]).view(np.uint64), np.empty(len(a), dtype=np.int64)
+    for i in range(0, len(a), 16384):
+        out[i : i + 16384] = (keys[a[i : i + 16384]] == keys[b[i : i + 16384]]).argmax(axis=1)
+    return out
 
 
 def _agree(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,6 +188,7 @@ def _blocks(least: float, forest: bool):
                 found = [p for block in waiting.values() for p in _forest(block)]
                 outs.append((np.array([p[0] for p in found], dtype=np.int64), np.array([p[1] for p in found], dtype=np.int64)))
                 both = np.unique(np.stack([np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs])], axis=1), axis=0)
+                both = both[both[:, 0] != both[:, 1]]
                 if len(both):
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIR)
             tail = tail.slice(stop)
@@ -205,7 +209,7 @@ def _verify(n: int, percent: int):
             texts = [t for pair in zip(left, right, strict=True) for t in pair]
             ok = np.zeros(len(a), dtype=bool)
             for begin, end in _even(batches_of(texts)):
-                doc, gram = shingles(Words(texts[begin:end], lower=True), n)
+                doc, gram = shingles(Words(texts[begin:end], lower=True), n, exact=True)
                 size = np.bincount(doc, minlength=end - begin)
                 pair = doc // 2
                 order = np.lexsort((gram, pair))
@@ -235,53 +239,61 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     ids = materialize(ids, "ids")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    texts = texts.dropDuplicates(["doc_id"])
+    texts = texts.distinct()  # all texts of a doc_id that repeats
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long")
+    total = pairs.count()
+    both = salted_join(pairs, left, "a", "b", heavy_copies(pairs, "a", total))
+    both = salted_join(both, right, "b", "a", heavy_copies(pairs, "b", total))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long").distinct()
 
 
 def _candidates(members: DataFrame, sketches: DataFrame, least: float, forest: bool) -> DataFrame:
     spark = members.sparkSession
     dealt = members.withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("band", "number", "doc_id", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "number", "doc_id", "comp", "chunk")
-    dealt = dealt.join(sketches, "doc_id").repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    dealt = dealt.select("band", "number", "doc_id", "v", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "number", "doc_id", "v", "comp", "chunk")
+    dealt = dealt.join(sketches, ["doc_id", "v"]).drop("v").repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     return dealt.mapInArrow(_blocks(least, forest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, copy_of (smallest doc_id with an equal set), component_id.
+    """One row for each row of ``docs``: doc_id, n_shingles, copy_of (smallest doc_id with the same words in order), component_id.
 
     Linked: 100 * |intersection| >= percent * |union| of the distinct lower-cased word shingles. Other columns of
     ``docs`` are ignored.
     """
     least = percent / 100 - MARGIN
     sketches = materialize(docs.select("doc_id", "text").mapInArrow(_sketches(shingle), _SKETCH), "sketches")
-    sets = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("copy_of"))
-    sets = materialize(sets, "sets")
-    firsts = sketches.join(sets, ["h1", "h2", "n_shingles"]).where("doc_id = copy_of").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch")
+    rows = sketches.count()
+    copies = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
+    copies = materialize(copies, "copies")
+    vertices = sketches.where("n_shingles > 0 and doc_id is not null")
+    firsts = join_counted(vertices, copies, ["digest"], "copies", rows).where("doc_id = copy_of").select("doc_id", F.xxhash64("digest").alias("v"), "bands", "sketch").dropDuplicates(["doc_id", "v"])
     firsts = materialize(firsts, "firsts")
-    banded = firsts.select("doc_id", F.posexplode("bands").alias("number", "band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialize(banded.join(shared, "band"), "members")
-    small = firsts.select("doc_id", "sketch")
+    banded = firsts.select("doc_id", "v", F.posexplode("bands").alias("number", "band"))
+    shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bands")
+    in_bands = BANDS * rows
+    members = materialize(join_counted(banded, shared, ["band"], "members", in_bands), "members")
+    small = firsts.select("doc_id", "v", "sketch")
     tried = materialize(_candidates(members.withColumn("comp", F.col("doc_id")), small, least, True), "pairs")
-    links = materialize(_links(docs, tried, shingle, percent), "links")
+    # texts that share a doc_id are one document
+    several = vertices.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    same = vertices.join(several, "doc_id", "left_semi").join(copies, "digest").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
+    links = materialize(_links(docs, tried, shingle, percent).union(same), "links")
     components = materialize(connected_components(links), "components")
     named = members.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    mixed = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-    rest = _candidates(named.join(mixed, "band"), small, least, False).join(tried, ["a", "b"], "left_anti")
+    named = materialize(named, "named")
+    mixed = materialize(named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "n"), "mixed")
+    rest = _candidates(join_counted(named, mixed, ["band"], "n", in_bands).drop("n"), small, least, False).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "pairs")
     if not rest.isEmpty():
         more = materialize(_links(docs, rest, shingle, percent), "links")
         if not more.isEmpty():
             components = connected_components(links.union(more))
-    out = sketches.select("doc_id", "n_shingles", "h1", "h2").join(sets, ["h1", "h2", "n_shingles"], "left")
-    out = out.join(components.withColumnRenamed("id", "copy_of"), "copy_of", "left")
-    lone = F.col("copy_of").isNull()
-    return out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("component", "copy_of", "doc_id").alias("component")).select(
-        "doc_id", "n_shingles", "copy_of", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
-    )
+    named = copies.join(components.withColumnRenamed("id", "copy_of"), "copy_of", "left").select("digest", "copies", "copy_of", F.coalesce("component", "copy_of").alias("component_id"))
+    named = materialize(named, "named")
+    lone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("component_id"))
+    return join_counted(vertices.select("doc_id", "n_shingles", "digest"), named, ["digest"], "copies", rows).select("doc_id", "n_shingles", "copy_of", "component_id").unionByName(lone)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +304,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents of which each near-duplicate component keeps its smallest doc_id, with all their columns.
 
-    Rows with a null doc_id stay. Of rows that repeat a doc_id that stays, one stays.
+    Rows with a null doc_id stay. Of rows that repeat a doc_id that stays, one stays for each different text.
     """
     done = materialize(near_duplicates(docs, percent=percent), "near")
     drop = done.where("doc_id <> component_id").select("doc_id").distinct()
@@ -303,4 +315,6 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     if repeated.isEmpty():
         return kept.select(docs.columns)
     once = kept.join(small(repeated), "doc_id", "left_anti")
-    return once.select(docs.columns).unionByName(kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    again = kept.join(small(repeated), "doc_id", "left_semi").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), row)
+    return once.select(docs.columns).unionByName(again.dropDuplicates(["doc_id", "digest"]).select("row.*"))

@@ -85,3 +85,38 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1400), 1000), 5000: 5000, 5001: 5000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def thue_morse(a, b, n=1024):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_a_rolling_hash_confuses_are_not_linked(make_docs):
+    rows = [(1, thue_morse("a", "b")), (2, thue_morse("b", "a"))]
+    assert {r.doc_id: r.component_id for r in near_duplicates(make_docs(rows)).collect()} == {1: 1, 2: 2}
+
+
+def test_equal_sets_of_other_texts_are_linked(make_docs):
+    rows = [(1, "x y z " * 10), (2, "x y z " * 11), (3, "a b c " * 10)]
+    assert {r.doc_id: r.component_id for r in near_duplicates(make_docs(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_one_doc_id_with_two_texts_is_one_document(make_docs):
+    a, b = prose(1, 60), prose(2, 60)
+    docs = make_docs([(5, a), (5, b), (3, a), (9, b), (11, prose(3, 60))])
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+    docs = make_docs([(5, a), (5, b), (5, a), (9, b + " more")])
+    kept = stage_near_dedup(docs.sparkSession, docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a), (5, b)])
+
+
+def test_heavy_keys_are_salted(spark, monkeypatch):
+    from gridlode.llm import skew
+
+    monkeypatch.setattr(skew, "HEAVY", 10)
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, x long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n")
+    plain = sorted(left.join(right, "k").collect())
+    assert sorted(skew.join_counted(left, right, ["k"], "n", 300).select("k", "x", "n").collect()) == plain
+    assert sorted(skew.salted_join(left, right, "k", "x", skew.heavy_copies(left, "k", 300)).select("k", "x", "n").collect()) == plain

@@ -49,3 +49,35 @@ def test_spans_are_maximal(make_docs):
 
 def test_empty_table(make_docs):
     assert run(make_docs([])) == []
+
+
+def thue_morse(a, b, n=1024):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_a_rolling_hash_confuses_stay(make_docs):
+    head, tail = " ".join(f"w{k}" for k in range(10)), " ".join(f"w{k}" for k in range(10, 30))
+    rows = [(1, f"{head} {thue_morse('a', 'b')} {tail}"), (2, f"z {head} {thue_morse('b', 'a')} {tail}")]
+    got = run(make_docs(rows))
+    assert got == brute(rows) and [r[2] for r in got] == [0, 20]
+
+
+def test_equal_hashes_of_other_words_end_in_an_error():
+    import numpy as np
+    import pytest
+    from gridlode.llm.substring_dedup import _equal
+
+    with pytest.raises(RuntimeError):
+        _equal(np.array([1, 2, 3, 1, 2, 4]), np.array([0]), np.array([3]), 3)
+
+
+def test_a_passage_in_every_bucket_is_lent_along_a_tree(make_docs):
+    passage = prose(7, 45)
+    rows = [(i, f"{prose(1000 + i, 12)} {passage} {prose(2000 + i, 9)}") for i in range(90)]
+    assert run(make_docs(rows), buckets=60, parts=4) == brute(rows)
+
+
+def test_rows_that_share_a_doc_id(make_docs):
+    rows = [(None, prose(1, 40)), (3, prose(2, 30)), (3, prose(2, 30)), (None, prose(1, 40)), (3, prose(1, 40))]
+    got = run(make_docs(rows))
+    assert sorted((r[0] is None, r[2]) for r in got) == [(False, 0), (False, 0), (False, 30), (True, 40), (True, 40)]

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlode.llm.decontaminate import find_leaks, stage_decontaminate
 
@@ -58,7 +59,7 @@ def test_odd_rows(make_docs, odd_rows, items):
     assert find_leaks(make_docs(odd_rows), items).collect() == []
     docs = make_docs([*odd_rows, (70, prose(1003, 24)), (None, prose(1004, 27))], extra=True)
     kept = stage_decontaminate(docs.sparkSession, docs, items)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in odd_rows if i is not None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in odd_rows}  # of two rows with a null id only the leaking one goes
 
 
 def test_empty_tables(make_docs, items):
@@ -66,6 +67,48 @@ def test_empty_tables(make_docs, items):
     assert find_leaks(make_docs([(1, prose(1, 30))]), items.limit(0)).collect() == []
 
 
+def test_the_blocks_do_the_search(make_docs, items, monkeypatch):
+    from gridlode.llm import decontaminate
+
+    docs = make_docs([(1, prose(1004, 27)), (2, prose(1, 40))])
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} == {(1, 4)}
+    whole = decontaminate._block_values
+    monkeypatch.setattr(decontaminate, "_block_values", lambda p, radius: F.filter(whole(p, radius), lambda b: b["block"] < 0))
+    assert find_leaks(docs, items).collect() == []
+
+
+def test_a_lost_run_of_one_token_is_still_found(make_docs, spark):
+    words = prose(31, 300).split()
+    item, leak = words.copy(), words.copy()
+    item[100:126], leak[100:126] = ["---"] * 26, ["000"] * 26
+    given = [(1, " ".join(item))]
+    rows = [(1, " ".join(leak)), (2, prose(2, 10) + " " + " ".join(leak)), (3, " ".join(["---"] * 300))]
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in find_leaks(make_docs(rows), spark.createDataFrame(given, "item_id long, text string")).collect()}
+    assert got == brute(rows, given) and len(got) == 2
+
+
+def test_repeats_inside_windows_against_brute_force(make_docs, spark):
+    import random
+
+    rng = random.Random(4)
+    given = [(k, " ".join(rng.choice("abc") for _ in range(rng.choice([12, 20, 21])))) for k in range(6)]
+    rows = []
+    for k in range(40):
+        words = [rng.choice("abc") for _ in range(rng.randint(0, 25))] + given[k % 6][1].split() + [rng.choice("abc") for _ in range(rng.randint(0, 25))]
+        for _ in range(k % 3):
+            words[rng.randrange(len(words))] = "d"
+        rows.append((k, " ".join(words)))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in find_leaks(make_docs(rows), spark.createDataFrame(given, "item_id long, text string")).collect()}
+    assert got == brute(rows, given)
+
+
+def test_long_items_are_searched_in_linear_time(make_docs, spark):
+    text = prose(8, 16_000)
+    docs = make_docs([(1, prose(9, 500) + " " + text + " tail"), (2, prose(10, 16_000))])
+    got = find_leaks(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.window_start, r.similarity) for r in got] == [(1, 500, 1.0)]
+
+
 def test_no_python_in_the_plan(make_docs, items):
     plan = find_leaks(make_docs([(1, "a b")]), items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

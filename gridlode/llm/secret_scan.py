@@ -7,11 +7,12 @@ measured after the match, because a short match uses up its text.
 
 The method adds kind entropy: candidate strings of 20 characters or more of one run; for the narrowest character class
 that holds the whole candidate, a window of 20 characters moves over it. Counts change by one character in and one
-out, and with them the sum of c * log2(c), so a step costs one update and no recount. A candidate is reported if some
+out, and with them the sum of c * log2(c). The counts are packed in a few longs, five bits each, so a step costs two
+additions and no recount, whatever the alphabet. A candidate is reported if some
 window reaches its class's threshold, unless the allow-list suppresses it. Base findings are never suppressed.
 
 Positions are code points, end exclusive. Positions come from one pass: matches are fenced with a private-use mark,
-the text is split there and lengths are summed. A mark that occurs in the text is first replaced by its neighbour,
+the text is split there and lengths are summed up, block by block, so that many findings cost no more each than few. A mark that occurs in the text is first replaced by its neighbour,
 which no pattern can match either.
 
 Defined results: null and empty texts have no findings; long texts are scanned whole; rows that repeat a doc_id are
@@ -52,38 +53,62 @@ _PLAIN_WORD = r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?![A-Za-z0-9]
 _FINDING = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
+def running_sums(lengths: Column, block: int = 128) -> Column:
+    """Sum of the first 1, 2, ... numbers of an array, in blocks: arrays grow by ``block`` at most while they are summed."""
+    grow = lambda numbers: F.aggregate(numbers, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    local = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(block)), lambda k: grow(F.slice(lengths, k, block)))
+    before = lambda blocks: grow(F.transform(blocks, lambda sums: F.element_at(sums, -1)))
+    joined = lambda blocks: F.flatten(F.zip_with(blocks, F.slice(before(blocks), 1, F.size(blocks)), lambda sums, n: F.transform(F.slice(sums, 2, block), lambda x: x + n)))
+    return F.aggregate(F.array(local), F.array().cast("array<int>"), lambda _, blocks: joined(blocks))
+
+
 def _matches(text: Column, kind: str, pattern: str, good) -> Column:
     """Findings of one kind: array<struct<start, end, kind, text>>."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_FINDING).alias("found"))
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        finding = F.array(F.struct(state["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), piece.alias("text")))
-        found = F.when(state["inside"] & good(piece), F.concat(state["found"], finding)).otherwise(state["found"])
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), found.alias("found"))
+    def findings(pieces: Column) -> Column:
+        # every second piece is a match
+        ends = running_sums(F.transform(pieces, lambda p: F.length(p)))
+        zipped = F.zip_with(pieces, ends, lambda p, end: F.struct((end - F.length(p)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), p.alias("text")))
+        return F.filter(zipped, lambda f, k: (k % 2 == 1) & good(f["text"]))
+
+    # an aggregate over one array binds the pieces, so that they are computed once
+    return F.when(text.rlike(pattern), F.aggregate(F.array(pieces), F.array().cast(_FINDING), lambda _, found: findings(found))).otherwise(F.array().cast(_FINDING))
 
-    return F.aggregate(pieces, start, step, lambda state: state["found"])
+
+#: Five bits hold a count up to WINDOW; so many counts are packed in a long.
+COUNT_BITS, A_LONG = 5, 12
 
 
 def window_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy in bits of any ``window`` characters of ``text``, by incremental counts."""
+    """The largest Shannon entropy in bits of any ``window`` (31 at most) characters of ``text``, by incremental counts."""
     chars = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("seen"))
-    pairs = F.zip_with(chars, F.concat(F.array_repeat(F.lit(-1), window), chars), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    longs = range(-(-len(alphabet) // A_LONG))
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in longs], F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("seen"))
+    place = lambda c: F.struct(F.floor(c / A_LONG).cast("int").alias("long"), (F.pmod(c, F.lit(A_LONG)) * COUNT_BITS).alias("shift"))
+    pairs = F.zip_with(chars, F.concat(F.array_repeat(F.lit(-1), window), chars), lambda new, old: F.struct(new.alias("new"), place(new).alias("to"), old.alias("old"), place(old).alias("off")))
     pairs = F.filter(pairs, lambda p: p["new"].isNotNull())
     weight = lambda n: F.get(weights, n)
+    shifted = lambda number, shift: F.call_function("shiftleft", F.lit(number).cast("long"), shift)
+
+    def count(s: Column, at: Column) -> Column:
+        chosen = s["c0"]
+        for k in longs[1:]:
+            chosen = F.when(at["long"] == k, s[f"c{k}"]).otherwise(chosen)
+        return F.call_function("shiftrightunsigned", chosen, at["shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
 
     def step(s: Column, p: Column) -> Column:
-        gone = F.when(p["old"] >= 0, F.get(s["counts"], p["old"])).otherwise(F.lit(0))
-        less = F.when(p["old"] >= 0, weight(gone - 1) - weight(gone)).otherwise(F.lit(0.0))
-        there = F.get(s["counts"], p["new"]) - (p["old"] == p["new"]).cast("int")
+        leaves = p["old"] >= 0
+        gone = F.when(leaves, count(s, p["off"])).otherwise(F.lit(0))
+        there = count(s, p["to"]) - (p["old"] == p["new"]).cast("int")
+        less = F.when(leaves, weight(gone - 1) - weight(gone)).otherwise(F.lit(0.0))
         total = s["sum"] + less + weight(there + 1) - weight(there)
-        counts = F.transform(s["counts"], lambda n, k: n + (k == p["new"]).cast("int") - (k == p["old"]).cast("int"))
+        none = F.lit(0).cast("long")
+        counts = [(s[f"c{k}"] + F.when(p["to"]["long"] == k, shifted(1, p["to"]["shift"])).otherwise(none) - F.when(leaves & (p["off"]["long"] == k), shifted(1, p["off"]["shift"])).otherwise(none)).alias(f"c{k}") for k in longs]
         seen = s["seen"] + 1
         bits = F.when(seen >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(s["best"], bits).alias("best"), seen.alias("seen"))
+        return F.struct(*counts, total.alias("sum"), F.greatest(s["best"], bits).alias("best"), seen.alias("seen"))
 
     return F.aggregate(pairs, zero, step, lambda s: s["best"])
 

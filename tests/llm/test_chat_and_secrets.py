@@ -1,11 +1,12 @@
 import hashlib
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from gridlode.llm.chat_format import format_chats, op5_chat_format, read_loss_text, read_turns
-from gridlode.llm.secret_scan import CANDIDATE, op10_secret_scan, scan_secrets, window_entropy
+from gridlode.llm.secret_scan import ALLOWED, CANDIDATE, CLASSES, op10_secret_scan, running_sums, scan_secrets, window_entropy
 
 CHATS = "conv_id long, turn long, role string, text string, segments string"
 ODD = [
@@ -83,3 +84,33 @@ def test_window_entropy_is_the_entropy_of_the_best_window(spark):
 def test_digest_query_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op10_secret_scan(spark, str(tmp_path)).collect() == []
+
+
+def entropy_spans(text):
+    """Entropy findings in plain Python."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        w = m[0]
+        rest = re.sub(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?![A-Za-z0-9])", "", w)
+        if not re.search("[A-Za-z0-9]", rest) or any(re.search(p, w) for p in ALLOWED):
+            continue
+        least = next(bits for fits, _, bits in CLASSES.values() if re.search(fits, w))
+        windows = [w[i : i + 20] for i in range(len(w) - 19)]
+        if max(-sum(v.count(c) / 20 * math.log2(v.count(c) / 20) for c in set(v)) for v in windows) >= least:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_and_allow_list_against_python(spark):
+    rng = random.Random(9)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnop", "ABCabc0123456789xyzXYZqrs", "AZaz09+/_=-kKmMpPtT", "ab"]
+    texts = [" ".join("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(15, 60))) for _ in range(12)) for _ in range(30)]
+    texts += ["12345678901234567890123456", "123e4567-e89b-12d3-a456-426614174000", "q7Gh2kLz9XwPb4exampleVn8RtYc1Md", "one-two-three-four-five-six", "Aa1-" * 9, None, ""]
+    got = {r.doc_id: [(f.start, f.end) for f in r.findings if f.kind == "entropy"] for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: entropy_spans(t) for i, t in enumerate(texts)} and sum(map(len, got.values())) > 20
+
+
+def test_running_sums_over_blocks(spark):
+    rows = [([],), ([5],), (list(range(300)),), ([1] * 1000,)]
+    for r in spark.createDataFrame(rows, "x array<int>").select("x", running_sums(F.col("x"), 7).alias("s")).collect():
+        assert r.s == [sum(r.x[: k + 1]) for k in range(len(r.x))]

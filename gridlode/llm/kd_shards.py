@@ -1,14 +1,15 @@
 """Sharding by a K-d tree over document metadata.
 
 The points are groups of equal texts (so copies share a shard), with dimensions taken from the group: language and
-source as hashed codes, size and a hash of the text. A node that must give k shards is split at the weighted median
+source as hashed codes, and size. A node that must give k shards is split at the weighted median
 (more exactly: at floor(k / 2) / k of its bytes) along its widest dimension, until each leaf is one shard, whose bytes
-are then the target. Widths compare dimensions on one scale: the share of the node's bytes outside the largest group
-of equal values, so a dimension in which nothing can be cut has width 0.
+are then the target (shards = bytes / target, see ``shards_for``). Widths compare dimensions on one scale: the share of
+the node's bytes outside the largest group of equal values, so a dimension in which nothing can be cut has width 0.
 
 Medians are distributed. A point's place in a dimension is a 62-bit key: the dimension's value in the upper bits and the
-text's hash in the lower, so that ties are cut too. Keys are narrowed down by counting bytes in SLICES slices a round,
-so a round brings SLICES sums for each node to the driver, whatever the number of rows.
+text's hash in the lower, so that ties are cut too. A level of the tree is one pass that sums bytes by (node, dimension,
+value), which gives widths and the value in which each median lies, and three passes that narrow the median down inside its value,
+SLICE_BITS bits each. Sums are added up by windows over the sums; the driver gets three rows for each node.
 
 A group of more than OVERSIZE of a shard's target is cut into its documents, in the order of doc_id hashes, because
 shards could not come out even otherwise. Slots are gapless within a shard: rows are counted in (shard, part) cells of
@@ -23,14 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .skew import join_counted
 from .store import materialize
 
 SHARDS = 8
-SLICES = 1024
+SLICE_BITS = 14
 OVERSIZE = 0.5
 SLOT_ROWS = 100_000
-KEY_BITS = 62
-DIMENSIONS = ("d_lang", "d_source", "d_size", "d_text")
+KEY_BITS, VALUE_BITS = 62, 20
+DIMENSIONS = ("d_lang", "d_source", "d_size")
 
 
 def _points(docs: DataFrame, shards: int) -> DataFrame:
@@ -45,101 +47,102 @@ def _points(docs: DataFrame, shards: int) -> DataFrame:
     low = F.when(whole, positive("h")).otherwise(positive(F.xxhash64("h", "doc_id")))
     code = lambda c: F.shiftrightunsigned(F.xxhash64(c), 1)
     value = {
-        "d_lang": F.shiftright(code("g_lang"), 63 - 20),
-        "d_source": F.shiftright(code("g_source"), 63 - 20),
-        "d_size": F.least(F.floor(F.log2(F.col("size").cast("double")) * 16), F.lit((1 << 20) - 1)).cast("long"),
-        "d_text": F.lit(0).cast("long"),
+        "d_lang": F.shiftright(code("g_lang"), 63 - VALUE_BITS),
+        "d_source": F.shiftright(code("g_source"), 63 - VALUE_BITS),
+        "d_size": F.least(F.floor(F.log2(F.col("size").cast("double")) * 16), F.lit((1 << VALUE_BITS) - 1)).cast("long"),
     }
-    out = rows.join(groups, ["h", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", low.alias("low"), *[v.alias(k) for k, v in value.items()])
+    out = join_counted(rows, materialize(groups, "groups"), ["h", "text_crc32", "size"], "copies", rows.count()).select("doc_id", "size", "text_crc32", low.alias("low"), *[v.alias(k) for k, v in value.items()])
     return materialize(out, "points")
 
 
 def _key(dimension: str) -> Column:
-    """62 bits: 20 of the value, 42 of the text's hash."""
-    return F.shiftleft(F.col(dimension), KEY_BITS - 20) + F.shiftright(F.col("low"), 63 - (KEY_BITS - 20))
+    """62 bits: VALUE_BITS of the value, the others of the text's hash."""
+    return F.shiftleft(F.col(dimension), KEY_BITS - VALUE_BITS) + F.shiftright(F.col("low"), 63 - (KEY_BITS - VALUE_BITS))
 
 
-def _node(tree: dict[int, dict], node: int = 0) -> Column:
-    """The leaf of a point, as nested decisions."""
-    cut = tree.get(node)
-    if cut is None:
-        return F.lit(node)
-    return F.when(_key(cut["dimension"]) >= F.lit(cut["at"]), _node(tree, cut["right"])).otherwise(_node(tree, cut["left"]))
-
-
-def _widths(points: DataFrame, nodes: list[int]) -> dict[tuple[int, str], float]:
-    """Share of a node's bytes outside the largest value; the text's hash is as wide as can be when others are not."""
-    out: dict[tuple[int, str], float] = {}
-    for d in DIMENSIONS[:-1]:
-        by_value = points.where(F.col("node").isin(nodes)).groupBy("node", d).agg(F.sum("size").alias("b"))
-        for r in by_value.groupBy("node").agg(F.sum("b").alias("all"), F.max("b").alias("top")).collect():
-            out[r["node"], d] = 1 - r["top"] / r["all"]
+def _chosen_key() -> Column:
+    """The key in the dimension that ``dimension`` numbers."""
+    out = _key(DIMENSIONS[0])
+    for k, d in enumerate(DIMENSIONS[1:], 1):
+        out = F.when(F.col("dimension") == k, _key(d)).otherwise(out)
     return out
 
 
-def _cut_keys(points: DataFrame, asked: dict[int, tuple[str, float]]) -> dict[int, int]:
-    """For each node the first key of the right side, so that the left holds its share of bytes as nearly as can be."""
-    low, high = dict.fromkeys(asked, 0), dict.fromkeys(asked, 1 << KEY_BITS)
-    done_bytes = dict.fromkeys(asked, 0.0)
-    key = F.lit(None).cast("long")
-    for node, (dimension, _) in asked.items():
-        key = F.when(F.col("node") == node, _key(dimension)).otherwise(key)
-    keyed = points.where(F.col("node").isin(list(asked))).select("node", "size", key.alias("key"))
-    totals = {r["node"]: r["b"] for r in keyed.groupBy("node").agg(F.sum("size").alias("b")).collect()}
-    answer: dict[int, int] = {}
-    while True:
-        open_ = [n for n in asked if n not in answer]
-        if not open_:
-            return answer
-        step = {n: max(1, (high[n] - low[n]) // SLICES) for n in open_}
-        slot = F.lit(None).cast("long")
-        inside = F.lit(False)
-        for n in open_:
-            slot = F.when(F.col("node") == n, F.expr(f"(key - {low[n]}L) div {step[n]}L")).otherwise(slot)
-            inside = inside | ((F.col("node") == n) & (F.col("key") >= low[n]) & (F.col("key") < high[n]))
-        sums: dict[int, list] = {n: [] for n in open_}
-        for r in keyed.where(inside).select("node", slot.alias("slot"), "size").groupBy("node", "slot").agg(F.sum("size").alias("b")).collect():
-            sums[r["node"]].append((r["slot"], r["b"]))
-        for n in open_:
-            want, seen = totals.get(n, 0) * asked[n][1], done_bytes[n]
-            chosen = None
-            for s, b in sorted(sums[n]):
-                if seen + b >= want:
-                    chosen = (s, b)
-                    break
-                seen += b
-            if chosen is None:
-                answer[n] = high[n]
-                continue
-            s, b = chosen
-            if step[n] == 1:  # a single key: on the nearer side of the cut
-                at = low[n] + s
-                answer[n] = at + 1 if seen + b - want <= want - seen else at
-                continue
-            done_bytes[n] = seen
-            low[n], high[n] = low[n] + s * step[n], min(high[n], low[n] + (s + 1) * step[n])
-
-
-def kd_tree(points: DataFrame, shards: int = SHARDS) -> dict[int, dict]:
-    """node -> its cut (dimension, at, left, right): points with key >= at go right. The root is 0."""
-    tree: dict[int, dict] = {}
-    due = {0: shards}
-    names = 0
+def place(points: DataFrame, levels: list[list[tuple]]) -> DataFrame:
+    """``points`` with ``node``: a join with each level's cuts (node, dimension, at, left, right), which are fewer than the shards."""
+    placed = points.withColumn("node", F.lit(0))
+    for level in levels:
+        cuts = points.sparkSession.createDataFrame(level, "node int, dimension int, at long, left_node int, right_node int")
+        side = F.when(_chosen_key() >= F.col("at"), F.col("right_node")).otherwise(F.col("left_node"))
+        joined = placed.join(F.broadcast(cuts), "node", "left")
+        placed = joined.select(*points.columns, F.when(F.col("at").isNull(), F.col("node")).otherwise(side).alias("node"))
+    return placed
+
+
+def _first_reaching(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Of sums (keys, slot, b, want) the first slot at which the running sum reaches ``want``: (keys, all, top, slot, before, b)."""
+    running = F.sum("b").over(Window.partitionBy(*keys).orderBy("slot"))
+    reached = F.col("through") >= F.col("want")
+    at = F.struct("slot", (F.col("through") - F.col("b")).alias("before"), "b")
+    out = sums.withColumn("through", running).groupBy(*keys).agg(F.sum("b").alias("all"), F.max("b").alias("top"), F.min(F.when(reached, at)).alias("at"))
+    return out.select(*keys, "all", "top", "at.slot", "at.before", "at.b")
+
+
+def _cuts(placed: DataFrame, due: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(node, dimension, at) for each node that has points: the left side gets its share of bytes as nearly as can be."""
+    spark = placed.sparkSession
+    shares = spark.createDataFrame(list(due.items()), "node int, k int")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(d).alias("slot")) for k, d in enumerate(DIMENSIONS)])).alias("p")
+    sums = placed.join(F.broadcast(shares), "node").select("node", "k", "size", each).groupBy("node", "k", "p.dimension", "p.slot").agg(F.sum("size").alias("b"))
+    total = F.sum("b").over(Window.partitionBy("node", "dimension"))
+    sums = sums.withColumn("want", F.expr("CAST(floor(k / 2) AS bigint)") * total).withColumn("want", F.expr("want div k"))
+    found: dict[int, dict] = {}
+    for r in _first_reaching(sums, ["node", "dimension"]).collect():  # three rows a node
+        width = 1 - r["top"] / r["all"]
+        if r["node"] not in found or (width, -r["dimension"]) > (found[r["node"]]["width"], -found[r["node"]]["dimension"]):
+            want = r["all"] * (due[r["node"]] // 2) // due[r["node"]]
+            found[r["node"]] = {"width": width, "dimension": r["dimension"], "slot": r["slot"], "want": want - r["before"], "b": r["b"]}
+    for known in range(KEY_BITS - VALUE_BITS, 0, -SLICE_BITS):
+        if not found:
+            break
+        asked = spark.createDataFrame([(n, f["dimension"], f["slot"], f["want"]) for n, f in found.items()], "node int, dimension int, prefix long, want long")
+        keyed = placed.join(F.broadcast(asked), "node").withColumn("key", _chosen_key()).where(F.shiftright("key", known) == F.col("prefix"))
+        sums = keyed.groupBy("node", "want", F.shiftright("key", known - SLICE_BITS).alias("slot")).agg(F.sum("size").alias("b"))
+        for r in _first_reaching(sums, ["node"]).collect():
+            f = found[r["node"]]
+            f["slot"], f["want"], f["b"] = r["slot"], f["want"] - r["before"], r["b"]
+    # a single key is left: it goes to the nearer side of the cut
+    return [(n, f["dimension"], f["slot"] + int(f["b"] - f["want"] <= f["want"])) for n, f in found.items()]
+
+
+def kd_tree(points: DataFrame, shards: int = SHARDS) -> tuple[list[list[tuple]], list[int]]:
+    """The cuts of each level (points with key >= at go right) and the leaves from left to right. The root is 0."""
+    levels: list[list[tuple]] = []
+    due, names = {0: shards}, 0
+    below: dict[int, tuple[int, int]] = {}
     while any(k > 1 for k in due.values()):
-        nodes = [n for n, k in due.items() if k > 1]
-        placed = points.withColumn("node", _node(tree))
-        widths = _widths(placed, nodes)
-        asked = {}
-        for n in nodes:
-            wide = {d: widths.get((n, d), 0.0) for d in DIMENSIONS[:-1]}
-            best = max(wide, key=lambda d: wide[d])
-            asked[n] = (best if wide[best] > 0.5 else "d_text", (due[n] // 2) / due[n])
-        for n, at in _cut_keys(placed, asked).items():
-            tree[n] = {"dimension": asked[n][0], "at": at, "left": names + 1, "right": names + 2}
-            due[names + 1], due[names + 2] = due[n] // 2, due[n] - due[n] // 2
+        level = []
+        open_ = {n: k for n, k in due.items() if k > 1}
+        cut = {n: (d, at) for n, d, at in _cuts(place(points, levels), open_)}
+        for n, k in open_.items():
+            dimension, at = cut.get(n, (0, 0))  # a node without points
+            level.append((n, dimension, at, names + 1, names + 2))
+            below[n] = (names + 1, names + 2)
+            due[names + 1], due[names + 2] = k // 2, k - k // 2
             names += 2
             del due[n]
-    return tree
+        levels.append(level)
+
+    def leaves(node: int) -> list[int]:
+        return [x for side in below[node] for x in leaves(side)] if node in below else [node]
+
+    return levels, leaves(0)
+
+
+def shards_for(docs: DataFrame, target_bytes: int) -> int:
+    """How many shards of about ``target_bytes`` (a text's UTF-8 bytes and 1 each) the documents make."""
+    total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
+    return max(1, -(-total // target_bytes))
 
 
 def _slots(rows: DataFrame, total: int) -> DataFrame:
@@ -154,20 +157,14 @@ def _slots(rows: DataFrame, total: int) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of ``docs`` (doc_id, text, lang, source; others ignored)."""
-    points = _points(docs, shards)
-    tree = kd_tree(points, shards)
-    names = F.create_map(*[F.lit(x) for n, i in {n: i for i, n in enumerate(_leaves(tree))}.items() for x in (n, i)])
-    placed = points.select("doc_id", "size", "text_crc32", _node(tree).alias("node")).select("doc_id", "size", "text_crc32", F.try_element_at(names, F.col("node")).cast("int").alias("shard"))
+    spark, points = docs.sparkSession, _points(docs, shards)
+    levels, leaves = kd_tree(points, shards)
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(leaves)], "node int, shard int")
+    placed = place(points, levels).join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", "shard")
     placed = materialize(placed, "placed")
     return _slots(placed, placed.count())
 
 
-def _leaves(tree: dict[int, dict], node: int = 0) -> list[int]:
-    """Leaf nodes from left to right."""
-    cut = tree.get(node)
-    return [node] if cut is None else _leaves(tree, cut["left"]) + _leaves(tree, cut["right"])
-
-
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

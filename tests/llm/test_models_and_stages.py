@@ -142,6 +142,88 @@ def test_shards_of_a_hot_group_and_of_odd_rows(make_docs, odd_rows):
     assert kd_shards.shard(make_docs([])).collect() == []
 
 
+def kd_brute(points, shards, keys):
+    """The K-d split in plain Python: {row: leaf number} of rows (size, value of each dimension, low)."""
+    def split(rows, k):
+        if k == 1:
+            return [rows]
+        if not rows:
+            return split([], k // 2) + split([], k - k // 2)
+        total = sum(r["size"] for r in rows)
+        widths = []
+        for d in keys:
+            by = {}
+            for r in rows:
+                by[r[d]] = by.get(r[d], 0) + r["size"]
+            widths.append(1 - max(by.values()) / total)
+        d = keys[max(range(len(keys)), key=lambda i: (widths[i], -i))]
+        key = lambda r: (r[d] << 42) + (r["low"] >> 21)
+        want, through, sums = total * (k // 2) // k, 0, {}
+        for r in rows:
+            sums[key(r)] = sums.get(key(r), 0) + r["size"]
+        for at in sorted(sums):
+            if through + sums[at] >= want:
+                at += sums[at] - (want - through) <= want - through
+                break
+            through += sums[at]
+        return split([r for r in rows if key(r) < at], k // 2) + split([r for r in rows if key(r) >= at], k - k // 2)
+
+    return {r["doc_id"]: i for i, leaf in enumerate(split(points, shards)) for r in leaf}
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_are_the_cuts_of_a_plain_kd_tree(spark, make_docs, shards):
+    rows = [(i, prose(i % 250, 10 + i * 7 % 120), ["en", "de", "fr", None][i % 7 % 4], f"s{i * i % 5}", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    points = [r.asDict() for r in kd_shards._points(docs, shards).collect()]
+    assert {r.doc_id: r.shard for r in kd_shards.shard(docs, shards).collect()} == kd_brute(points, shards, kd_shards.DIMENSIONS)
+
+
+def test_number_of_shards_follows_target_bytes(make_docs):
+    docs = make_docs([(i, "x" * 99) for i in range(50)] + [(99, None)])
+    assert kd_shards.shards_for(docs, 1000) == 6 and kd_shards.shards_for(docs.limit(0), 1000) == 1
+
+
+def raked(cells, targets, sweeps=4000):
+    """Plain iterative proportional fitting over {(source, lang, topic): tokens}."""
+    weight = {c: float(n) for c, n in cells.items() if n}
+    for _ in range(sweeps):
+        for d, target in enumerate(targets):
+            has = {}
+            for c, w in weight.items():
+                has[c[d]] = has.get(c[d], 0) + w
+            weight = {c: w * target.get(c[d], 0) / has[c[d]] if has[c[d]] else 0.0 for c, w in weight.items()}
+    return weight
+
+
+def test_raking_against_plain_python(spark):
+    rng = np.random.default_rng(5)
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): int(rng.integers(1, 500)) for a in range(4) for b in range(3) for c in range(2) if rng.random() < 0.85}
+    targets = {"source": {"s0": 0.1, "s1": 0.2, "s2": 0.3, "s3": 0.4}, "lang": {"l0": 2.0, "l1": 1.0, "l2": 1.0}, "topic": {"t0": 0.5, "t1": 0.5}}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    got = mixing.rake(df, targets, strict=True).collect()
+    want = raked(cells, [targets["source"], {k: v / 4 for k, v in targets["lang"].items()}, targets["topic"]])
+    assert all(abs(r.weight - want[r.source, r.lang, r.topic]) < 1e-3 for r in got) and len(got) == len(want)
+    assert {r.marginal_gap <= mixing.TOLERANCE for r in got} == {True}
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    df = spark.createDataFrame([("a", "x", "t", 90), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        got = mixing.rake(df, targets).collect()
+    assert got[0].marginal_gap > 0.5
+    with pytest.raises(ValueError, match="cannot all be met"):
+        mixing.rake(df, targets, strict=True)
+
+
+def test_targets_of_absent_values(spark):
+    # values that do not occur are left out, and a target of absent values only leaves the shares
+    df = spark.createDataFrame([(a, x, "t", n) for a, x, n in [("a", "x", 60), ("a", "y", 20), ("b", "x", 15), ("b", "y", 5)]], "source string, lang string, topic string, tokens long")
+    got = mixing.rake(df, {"source": {"zz": 1.0}, "lang": {"x": 0.5, "y": 0.5, "zz": 7.0}, "topic": {}}, strict=True).collect()
+    assert {(r.source, r.lang): round(r.weight, 6) for r in got} == {("a", "x"): 0.4, ("a", "y"): 0.4, ("b", "x"): 0.1, ("b", "y"): 0.1}
+
+
 def test_mixing_reaches_its_marginals(spark):
     rows = [(i, prose(i % 50, 20 + i % 80), ["en", "de", None][i % 3], ["a", "a", "b", "c"][i % 4], 0) for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic long")

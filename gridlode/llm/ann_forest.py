@@ -3,14 +3,17 @@
 Vectors are lifted to the unit sphere (one more coordinate makes all lengths equal), where the largest inner product
 is the smallest angle. A tree gives each vector a string of 64 hyperplane signs; the strings of a tree lie in one
 sorted array. A query descends in every tree to its longest matching prefix by binary search, and then all trees
-ascend together, one prefix bit at a time, until the prefixes hold SHARE of the block's
-vectors in each tree on average (LEAST of them at least). The candidates are
-scored with the original vectors in double precision.
+ascend together, one prefix bit at a time, until the prefixes hold a share of the block's
+vectors in each tree on average (LEAST of them at least). The share is the smallest of SHARES with which the block's forest
+finds TARGET_RECALL of the true neighbours of SAMPLE of its own vectors, so vectors with structure need few candidates and those
+without many. The candidates are scored with the original vectors in double precision.
 
-Rows are indexed in blocks (BLOCK vectors by a hash of vec_id), each with a forest of its own in one task, and queries
-visit every block in blocks of QUERIES; a last aggregation takes the best of all blocks. Every row is indexed, equal
+Rows are indexed in blocks (LEAST_BLOCK to BLOCK vectors by a hash of vec_id, as many blocks as partitions if they are large enough),
+each with a forest of its own in one task, and queries visit every block in blocks of QUERIES at most; a last aggregation takes the best of all blocks. Every row is indexed, equal
 vectors of a block are one entry with all their ids, so that a vector which a third of the rows share costs one
-candidate. The number of blocks follows the count of rows, so no task grows with the input.
+candidate. The number of blocks follows the count of rows, so no task grows with the input. Every query meets every block, so
+what is shuffled is rows * queries * (1 / BLOCK + 1 / QUERIES) vectors: for queries in proportion to the rows this is a quadratic
+operator with a small factor, like any that asks so many queries.
 
 Recall against brute force (20 nearest): see README; the tests ask for 0.9.
 
@@ -26,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, partitions
 
 TREES = 32
 BITS = 64
-#: Share of a block's distinct vectors that each tree's prefix holds on average when the ascent stops.
-SHARE = 0.03
-#: And so many at least.
-LEAST = 100
-BLOCK = 20_000
-QUERIES = 20_000
+#: Shares of a block's distinct vectors that each tree's prefix may hold on average when the ascent stops.
+SHARES = (0.001, 0.0025, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.25, 1.0)
+TARGET_RECALL, SAMPLE = 0.95, 48
+#: So many candidates a tree at least, for each neighbour that is asked for.
+LEAST = 2
+BLOCK, LEAST_BLOCK = 100_000, 20_000
+QUERIES, LEAST_QUERIES = 100_000, 250
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -91,13 +95,33 @@ class Forest:
             yield np.unique(np.concatenate([self.order[t, lo[t, q] : hi[t, q]] for t in range(self.trees)]))
 
 
+    def share_for(self, vectors: np.ndarray, k: int, target: float = TARGET_RECALL, sample: int = SAMPLE) -> float:
+        """The smallest share with which the sample's neighbours are found as asked."""
+        asked = np.linspace(0, len(vectors) - 1, min(sample, len(vectors))).astype(int)
+        scores = vectors[asked] @ vectors.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        k = min(k, len(vectors) - 1)
+        if k < 1:
+            return 1.0
+        true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        for share in SHARES:
+            found = self.candidates(vectors[asked], self.least(k, share, len(vectors)))
+            if sum(len(np.intersect1d(f, t, assume_unique=True)) for f, t in zip(found, true, strict=True)) >= target * true.size:
+                return share
+        return 1.0
+
+    def least(self, k: int, share: float, n: int) -> int:
+        """Candidates of all trees together at which the ascent stops."""
+        return self.trees * max(LEAST * (k + 1), round(share * n))
+
+
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     flat = column.combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     return np.asarray(flat.flatten()).astype(np.float64).reshape(n, -1)
 
 
-def _search(k: int, trees: int, share: float):
+def _search(k: int, trees: int, share: float | None):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         if not data.num_rows or not queries.num_rows:
             return _FOUND.empty_table()
@@ -112,7 +136,8 @@ def _search(k: int, trees: int, share: float):
         forest = Forest(distinct, trees)
         asked, points = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), queries.num_rows)
         out_q, out_v, out_s = [], [], []
-        for q, found in enumerate(forest.candidates(points, trees * max(k + 1, LEAST, round(share * len(distinct))))):
+        part = forest.share_for(distinct, k) if share is None else share
+        for q, found in enumerate(forest.candidates(points, forest.least(k, part, len(distinct)))):
             scores = (distinct[found] * points[q]).sum(axis=1)
             if len(found) > k + 1:
                 cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
@@ -135,23 +160,29 @@ def _ddl() -> str:
     return "query_id long, vec_id long, score double"
 
 
-def nearest(data: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def nearest(data: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float | None = None, block: int | None = None, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest rows of ``data`` other than itself.
 
-    Both sides have vec_id and embedding (array of numbers); other columns are ignored.
+    Both sides have vec_id and embedding (array of numbers); other columns are ignored. ``share`` fixes the share of
+    candidates. Rows that repeat a vec_id with another vector are entries of their own under that id.
     """
 
     def usable(df: DataFrame) -> DataFrame:
         vector = F.col("embedding").cast("array<double>")
         finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-        return df.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).select("vec_id", vector.alias("vector"), F.size("embedding").alias("dim"))
+        return df.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).select("vec_id", F.col("embedding").alias("vector"), F.size("embedding").alias("dim"))
 
     data, queries = materialize(usable(data).distinct(), "vectors"), materialize(usable(queries).distinct(), "queries")
-    blocks, rounds = max(1, -(-data.count() // block)), max(1, -(-queries.count() // query_block))
+    rows, asking, tasks = data.count(), queries.count(), partitions(data.sparkSession)
+    block = block or max(LEAST_BLOCK, min(BLOCK, -(-rows // tasks)))
+    blocks = max(1, -(-rows // block))
+    query_block = query_block or min(QUERIES, max(LEAST_QUERIES, -(-asking * blocks // tasks)))
+    rounds = max(1, -(-asking // query_block))
     dealt = data.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     asked = queries.select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(rounds)).cast("int").alias("round"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     keys = ["dim", "block", "round"]
     found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k, trees, share), _ddl())
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids that repeat
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

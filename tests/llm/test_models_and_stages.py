@@ -277,3 +277,24 @@ def test_forest_recall_ties_and_odd_vectors(spark):
 def test_forest_without_rows(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann_forest.nearest(df, df).collect() == []
+
+
+def test_forest_scores_few_of_vectors_with_structure():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(200, 32))
+    points = np.repeat(centers, 50, axis=0) + 0.25 * rng.normal(size=(10_000, 32))
+    forest = ann_forest.Forest(points)
+    share = forest.share_for(points, 20)
+    asked = points[::200]
+    found = list(forest.candidates(asked, forest.least(20, share, len(points))))
+    true = np.argsort(-(asked @ points.T), axis=1)[:, :20]
+    assert np.mean([len(set(f.tolist()) & set(t.tolist())) / 20 for f, t in zip(found, true, strict=True)]) >= 0.9
+    assert np.mean([len(f) for f in found]) < 0.2 * len(points)
+
+
+def test_forest_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(i, [float(i % 5), 1.0], i, i, "x") for i in range(60)] + [(7, [9.0, 9.0], 0, 0, "y"), (7, [9.0, 9.0], 0, 0, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block long, round long, dim string")
+    got = ann_forest.nearest(df, df.where("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect()
+    assert [r.rank for r in got] == [1, 2, 3, 4, 5] * 3
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 20] == [(7, 9.0), (0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)]

@@ -27,9 +27,11 @@ from .models import BoostedTrees, Isotonic, sigmoid
 from .textkit import text_ranges
 
 MAX_LABELLED = 40_000
-MAX_LEXICON = 1_000
 STEM = range(4, 9)
-LEAST_TOXIC = 3
+#: A word or stem is learned from this many toxic rows on, if its log odds are over LEAST_GAIN.
+LEAST_TOXIC, LEAST_GAIN = 3, 2.5
+#: So much of the trees' own score at most is added to a calibrated one, to order rows within a step.
+TIE = 1e-6
 NEAR = 4
 #: Second-person words of the corpus languages.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "thou", "tu", "toi", "te", "ton", "ta", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "ti", "tú", "usted", "ustedes", "vosotros")
@@ -125,8 +127,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         return Lexicon({})
     counted = rows.select("toxic", F.explode(F.concat(low, stems)).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     gain = F.log((F.col("t") + 0.1) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
-    top = counted.where(F.col("t") >= max(LEAST_TOXIC, toxic // 400)).withColumn("gain", gain).where("gain > 2.5").orderBy((F.col("gain") * F.sqrt("t")).desc(), "w").limit(MAX_LEXICON).collect()
-    return Lexicon({r["w"]: float(r["gain"]) for r in top})
+    learned = counted.where(F.col("t") >= LEAST_TOXIC).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN)
+    return Lexicon({r["w"]: float(r["gain"]) for r in learned.collect()})  # words of at most MAX_LABELLED texts
 
 
 class ToxicityModel:
@@ -139,8 +141,8 @@ class ToxicityModel:
         if self.trees is None:
             return np.full(len(column), self.share)
         logit = self.trees.logit(_matrix(column, self.lexicon))
-        # isotonic steps are flat: a little of the trees' own score keeps the order within a step
-        return np.clip(0.98 * self.calibration(logit) + 0.02 * sigmoid(logit), 0, 1)
+        # the calibrated scores are flat beyond the outermost steps; TIE orders rows there and moves no score by more
+        return (1 - TIE) * self.calibration(logit) + TIE * sigmoid(logit)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

@@ -1,17 +1,20 @@
 """Quality classification by co-training of two views.
 
-The text view sees dense features of the content (byte classes, repetition, words, lines); the metadata view sees only the page's
-columns: language, source and size. Each view has a logistic classifier, fitted on labelled rows. Over ROUNDS rounds each
-view labels the unlabelled documents of which it is most confident (SHARE_A_ROUND of all, in the proportion of the
-classes) for the other view, and both are fitted again. Each view is then calibrated on labelled rows that no fit has seen,
-and a last logistic model on the two calibrated logits scores every document.
+The text view sees dense features of the content (byte classes, repetition, words, lines, and the shares of WORD_SLOTS
+hashed words and as many hashed pairs of words); the metadata view sees only the page's columns: language, source and size. Each
+view has a logistic classifier, fitted on labelled rows. Over ROUNDS rounds each view labels the unlabelled documents of
+which it is most confident (SHARE_A_ROUND of all, in the proportion of the classes) for the other view, and both are
+fitted again. A view gives labels of a class only while those that it would give are right on TRUST of labelled rows
+kept apart for this, so a view that knows no more than the classes' shares teaches nothing; and a fit
+that such rows show to be worse than the view's last is taken back. Each view is then calibrated, a last logistic model on the two calibrated logits scores every document, and
+the cut is set, each on labelled rows of its own that no fit has seen.
 
 The pool is every unlabelled document. Its features are written once; a round is one pass for the histograms of the logits,
 which give the bounds of the most confident share, and one pass for each Newton step, which brings only sums of
 derivatives to the driver. What a row was given follows from the earlier rounds' coefficients and bounds, so no state is kept.
 
 A document is kept if its score is at least the cut: 0.5, or lower if 0.5 would reject more than ONE_IN of the good
-calibration rows. At most MAX_LABELLED labelled rows are used for fitting (the smallest by a hash of doc_id), and all
+rows kept for the cut. At most MAX_LABELLED labelled rows are used for fitting (the smallest by a hash of doc_id), and all
 unlabelled ones with a doc_id; every document is scored, with its whole text.
 
 Defined results: null and empty texts have zero text features; null columns are values of their own; without labels of
@@ -30,10 +33,13 @@ from pyspark.sql import functions as F
 
 from .models import Logistic, sigmoid
 from .store import materialize
-from .textkit import Words, mix, text_ranges
+from .textkit import Words, mix, run_hashes, text_ranges
 
 MAX_LABELLED = 20_000
 ROUNDS = 5
+TRUST, LEAST_TRUSTED = 0.98, 5
+#: Tenths of the labelled rows: for fitting, for trust, for calibration, for the joint model; the rest is for the cut.
+TENTHS = (5, 1, 1, 1)
 SHARE_A_ROUND = 0.04
 ONE_IN = 400
 #: A view is confident below 0.1 and above 0.9; its logits, cut at LARGEST, are counted in BINS.
@@ -46,7 +52,9 @@ NEAR_ENOUGH = 1e-3
 SOURCE_SLOTS = 64
 LANG_SLOTS = 16
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!", b"?", b"|", b"#$%&*@^~_=+<>[]{}\\/`")
-TEXT_FEATURES = 22
+WORD_SLOTS = 32
+DENSE = 22
+TEXT_FEATURES = DENSE + 2 * WORD_SLOTS
 
 
 def text_features(column: pa.Array) -> np.ndarray:
@@ -93,6 +101,11 @@ def text_features(column: pa.Array) -> np.ndarray:
         x[:, 19] = (n == 0) + 0.5 * (n < 5)
         x[:, 20] = kinds / np.sqrt(safe) / 10
         x[:, 21] = shares[:, 0] / np.maximum(1e-6, shares[:, 0] + shares[:, 1])
+        slot = lambda owner, hashes: np.bincount(owner * WORD_SLOTS + (hashes % np.uint64(WORD_SLOTS)).astype(np.int64), minlength=WORD_SLOTS * len(some)).reshape(-1, WORD_SLOTS) / safe[:, None]
+        x[:, DENSE : DENSE + WORD_SLOTS] = slot(doc, words.hash)
+        pairs = words.inside(2)
+        if len(pairs):
+            x[:, DENSE + WORD_SLOTS :] = slot(doc[pairs], run_hashes(words.hash, 2)[pairs])
     return out
 
 
@@ -214,14 +227,28 @@ def draws(doc_id: np.ndarray) -> np.ndarray:
     return mix(doc_id.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
 
 
+def _parts(y: np.ndarray) -> list[np.ndarray]:
+    """Masks of the rows for fitting, trust, calibration, the joint model and the cut; a part without both classes is all that are not for fitting."""
+    tenth = np.arange(len(y)) % 10
+    cuts = np.cumsum([0, *TENTHS, 10 - sum(TENTHS)])
+    parts = [(tenth >= i) & (tenth < j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [parts[0], *[m if len(np.unique(y[m])) == 2 else ~parts[0] for m in parts[1:]]]
+
+
+def _trusted(logit: np.ndarray, y: np.ndarray) -> tuple[bool, bool]:
+    """Whether a view's confident labels of bad and of good rows are right often enough."""
+    sides = ((logit < -CONFIDENT, y == 0), (logit > CONFIDENT, y == 1))
+    return tuple(bool(sure.sum() >= LEAST_TRUSTED and right[sure].mean() >= TRUST) for sure, right in sides)
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: ArrayPool | TablePool, rounds: int = ROUNDS) -> QualityModel:
-    """Labelled rows are in a random order; a third of them is kept for calibration."""
+    """Labelled rows are in a random order; a half of them is kept for trust, calibration, the joint model and the cut."""
     model = QualityModel(float(y.mean()) if len(y) else 1.0)
-    rest = np.arange(len(y)) % 3 == 2
-    if len(np.unique(y[~rest])) < 2 or len(np.unique(y[rest])) < 2:
+    fit, trust, calibrate, join, cut = _parts(y)
+    if len(np.unique(y[fit])) < 2 or len(np.unique(y[~fit])) < 2:
         return model
-    good = y[~rest].mean()
-    sums = _moments([text[~rest], meta[~rest]])
+    good = y[fit].mean()
+    sums = _moments([text[fit], meta[fit]])
     unlabelled = pool.gather(lambda x, draw: _moments(x))
     n = int(unlabelled[0]) if np.ndim(unlabelled) else 0
     sums, views, at = sums + unlabelled, [], 1
@@ -229,8 +256,10 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: ArrayPool
         mean, square = sums[at : at + k] / sums[0], sums[at + k : at + 2 * k] / sums[0]
         views.append(Logistic().begin(mean, np.sqrt(np.maximum(0, square - mean**2)) + 1e-9))
         at += 2 * k
-    labelled = [v._design(x[~rest]) for v, x in zip(views, (text, meta), strict=True)]
+    labelled = [v._design(x[fit]) for v, x in zip(views, (text, meta), strict=True)]
+    watched = [v._design(x[trust]) for v, x in zip(views, (text, meta), strict=True)]
     history: list = []
+    lasts: list = [None, None]
     for r in range(rounds + 1):
         best: list[list] = [[], []]
         for _ in range(NEWTON_STEPS):
@@ -238,7 +267,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: ArrayPool
             at, moved = 0, 0.0
             for view, z, kept in zip(views, labelled, best, strict=True):
                 ones = np.ones(len(z))
-                loss, (slope, curve) = view.loss(z, y[~rest], ones), view.sums(z, y[~rest], ones)
+                loss, (slope, curve) = view.loss(z, y[fit], ones), view.sums(z, y[fit], ones)
                 k = len(slope)
                 if np.ndim(added):
                     loss, slope, curve = loss + added[at], slope + added[at + 1 : at + 1 + k], curve + added[at + 1 + k : at + 1 + k + k * k].reshape(k, k)
@@ -246,20 +275,33 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: ArrayPool
                 moved = max(moved, view.guarded_step(loss, slope, curve, kept))
             if moved < (NEAR_ENOUGH if history else 1e-6):
                 break
+        for v, (view, z) in enumerate(zip(views, watched, strict=True)):
+            loss = view.loss(z, y[trust], np.ones(len(z)))
+            if lasts[v] is not None and loss > lasts[v][0]:
+                view.coef = lasts[v][1]
+            else:
+                lasts[v] = (loss, view.coef)
         if r == rounds or not n:
             break
+        allowed = [_trusted(z @ view.coef, y[trust]) for view, z in zip(views, watched, strict=True)]
+        if not any(map(any, allowed)):
+            break
         counts = pool.gather(lambda x, draw: _count([v._design(m) for v, m in zip(views, x, strict=True)], draw, history, [v.coef for v in views])).reshape(2, BINS)
         take = max(1, int(SHARE_A_ROUND * n))
         bad = max(1, round(take * (1 - good)))
-        history.append(([v.coef for v in views], [most_confident(c, bad, take - bad) for c in counts]))
+        bounds = []
+        for c, (bad_too, good_too) in zip(counts, allowed, strict=True):
+            low, low_share, high, high_share = most_confident(c, bad, take - bad)
+            bounds.append((*((low, low_share) if bad_too else (-1, 0.0)), *((high, high_share) if good_too else (BINS, 0.0))))
+        history.append(([v.coef for v in views], bounds))
     model.pool_rows, model.history = n, history
     model.views = views
-    logits = [v.logit(x[rest])[:, None] for v, x in zip(views, (text, meta), strict=True)]
-    model.calibrations = [Logistic(l2=0.1).fit(z, y[rest]) for z in logits]
+    logits = [v.logit(x)[:, None] for v, x in zip(views, (text, meta), strict=True)]
+    model.calibrations = [Logistic(l2=0.1).fit(z[calibrate], y[calibrate]) for z in logits]
     both = np.stack([c.logit(z) for c, z in zip(model.calibrations, logits, strict=True)], axis=1)
-    model.joint = Logistic(l2=0.1).fit(both, y[rest])
-    score = sigmoid(model.joint.logit(both))
-    model.cut = float(min(0.5, np.quantile(score[y[rest] == 1], 1 / ONE_IN)))
+    model.joint = Logistic(l2=0.1).fit(both[join], y[join])
+    score = sigmoid(model.joint.logit(both[cut]))
+    model.cut = float(min(0.5, np.quantile(score[y[cut] == 1], 1 / ONE_IN)))
     return model
 
 

@@ -298,3 +298,43 @@ def test_forest_with_clashing_columns_and_repeated_ids(spark):
     got = ann_forest.nearest(df, df.where("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect()
     assert [r.rank for r in got] == [1, 2, 3, 4, 5] * 3
     assert [(r.vec_id, r.score) for r in got if r.query_id == 20] == [(7, 9.0), (0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_isotonic_is_the_least_squares_rising_fit():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        x, y = np.arange(7.0), rng.integers(0, 2, 7).astype(float)
+        # brute force: the fit at i is the largest over starts of the smallest over ends of the means of y[start:end]
+        want = [max(min(y[s:e].mean() for e in range(i + 1, 8)) for s in range(i + 1)) for i in range(7)]
+        steps = Isotonic().fit(x, y)
+        assert np.allclose(sorted(set(np.round(want, 9))), sorted(set(np.round(steps.y, 9))))
+
+
+def test_toxic_features_against_plain_counts():
+    text = "You IDIOT! you f.o.o.l are a w0rd\nclean line, fool?"
+    got = dict(zip(toxicity.FEATURES, toxicity.lexicon_features(text, toxicity.Lexicon({"idiot": 3.0, "fool": 2.0, "word": 1.0, "~clea": 0.5})), strict=True))
+    words = ["You", "IDIOT", "you", "f", "o", "o", "l", "are", "a", "w", "rd", "clean", "line", "fool"]
+    assert got["word_density"] == 2 / len(words) and got["stem_density"] == 1 / len(words) and got["word_kinds"] == 3
+    assert got["second_density"] == 2 / len(words) and got["near_second"] == 1 and got["line_share"] == 1.0
+    assert got["capital_share"] == 6 / len(text) and got["capital_words"] == 1 / len(words) and got["exclaims"] == 1 / len(text) and got["questions"] == 1 / len(text)
+    assert got["hidden_found"] >= 2 and got["weight_sum"] == 5.5 and got["weight_top"] == 3.0
+
+
+def test_calibrated_scores_move_by_a_tie_at_most(labelled):
+    docs, labels, _ = labelled
+    model = toxicity.fit_toxicity(docs, labels)
+    import pyarrow as pa
+
+    column = pa.array(["wretchbag you", "quiet rivers", None])
+    plain = model.calibration(model.trees.logit(toxicity._matrix(column, model.lexicon)))
+    assert np.abs(model.score(column) - plain).max() <= toxicity.TIE
+
+
+def test_a_view_that_knows_nothing_teaches_nothing():
+    rng = np.random.default_rng(6)
+    y = (rng.random(1000) < 0.92).astype(float)
+    text, meta = y[:, None] + 0.2 * rng.normal(size=(1000, 1)), rng.normal(size=(1000, 1))
+    pool = quality.ArrayPool(rng.normal(size=(4000, 1)), rng.normal(size=(4000, 1)), rng.random(4000))
+    model = quality.co_train(text, meta, y, pool)
+    given = quality.given_labels([v._design(x) for v, x in zip(model.views, pool.parts[:2], strict=True)], pool.parts[2], model.history)
+    assert (given[0] >= 0).sum() == 0 and (given[1] >= 0).sum() > 0

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import materialize, partitions
-from .textkit import Words, batches_of, pack, run_hashes, squeeze, text_bytes, unpack, unsqueeze
+from .textkit import Words, batches_of, mix, pack, run_hashes, squeeze, text_bytes, unpack, unsqueeze
 
 WINDOW = 20
 #: Bytes of texts in a bucket, and of texts of which a hash range gets the fingerprints.
@@ -46,11 +46,11 @@ _LAST = np.iinfo(np.int64).max
 _PROBES = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("prints", pa.binary()), ("flags", pa.binary())])
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("prints", pa.binary())])
 _WINDOWS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("at", pa.binary())])
-#: Late windows of ``bucket`` at (row, at), and the place (of_row, of_at) in ``source`` where they start earlier.
-_LATE = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("n", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("of_row", pa.binary()), ("of_at", pa.binary())])
+#: For a bucket: its late windows at (row, at) and the places (of_row, of_at) where they start earlier (other is null), or the
+#: places that the buckets in ``other`` ask it for.
+_LATE = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("of_row", pa.binary()), ("of_at", pa.binary()), ("other", pa.binary())])
 #: Words lent to ``bucket``: n spans that begin at (row, at), and their words.
-_LENT = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("n", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("words", pa.list_(pa.binary()))])
-_BOTH = pa.schema([*_LATE, ("words", pa.list_(pa.binary()))])
+_LENT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("row", pa.binary()), ("at", pa.binary()), ("words", pa.list_(pa.binary()))])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
 
@@ -194,21 +194,24 @@ def _late(table: pa.Table) -> pa.Table:
     bucket = np.repeat(table.column("bucket").to_numpy(), table.column("n").to_numpy())
     high = _column(table, "high", np.uint64, unpack)
     low, doc, row, at = (_column(table, c, t) for c, t in (("low", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32)))
-    order = np.lexsort((row, doc, low, high))
+    order = np.lexsort((doc, high))
+    near = (high[order][1:] == high[order][:-1]) & ((low[order][1:] != low[order][:-1]) | (doc[order][1:] == doc[order][:-1]))
+    if near.any():  # hashes that agree in one lane only, or rows that share a doc_id
+        order = np.lexsort((row, doc, low, high))
     high, low, row, at, bucket = high[order], low[order], row[order], at[order], bucket[order]
     same = np.concatenate([[False], (high[1:] == high[:-1]) & (low[1:] == low[:-1])])
-    place = np.arange(len(same))
-    first = np.maximum.accumulate(np.where(same, 0, place))
-    late = place[same]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    late = np.flatnonzero(same)
     parent = first[late] + (late - first[late] - 1) // FAN_OUT
-    mine, theirs = bucket[late], bucket[parent]
-    order = np.lexsort((at[late], row[late], theirs, mine))
-    late, parent, mine, theirs = late[order], parent[order], mine[order], theirs[order]
     rows = {k: [] for k in _LATE.names}
-    for i, j in _split(mine, theirs):
-        packed = (int(mine[i]), int(theirs[i]), j - i, squeeze(row[late[i:j]]), squeeze(at[late[i:j]]), squeeze(row[parent[i:j]]), squeeze(at[parent[i:j]]))
-        for k, v in zip(_LATE.names, packed, strict=True):
-            rows[k].append(v)
+    for owner, asks in ((bucket[late], False), (bucket[parent], True)):
+        order = np.argsort(owner, kind="stable")
+        mine, theirs = late[order], parent[order]
+        for i, j in _split(owner[order]):
+            of = (squeeze(row[theirs[i:j]]), squeeze(at[theirs[i:j]]))
+            packed = (b"", b"", *of, squeeze(bucket[mine[i:j]])) if asks else (squeeze(row[mine[i:j]]), squeeze(at[mine[i:j]]), *of, None)
+            for k, v in zip(_LATE.names, (int(owner[order[i]]), j - i, *packed), strict=True):
+                rows[k].append(v)
     return pa.table(rows, schema=_LATE)
 
 
@@ -218,7 +221,7 @@ def _lend(window: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
             return _LENT.empty_table()
-        asker = np.repeat(right.column("asker").to_numpy(), right.column("n").to_numpy())
+        asker = _column(right, "other", np.int32)
         row, at = _column(right, "of_row", np.int64), _column(right, "of_at", np.int32).astype(np.int64)
         order = np.lexsort((at, row, asker))
         asker, row, at = asker[order], row[order], at[order]
@@ -233,21 +236,39 @@ def _lend(window: int):
                 owner = row[k]
                 split = text_bytes(text.slice(where[int(owner)], 1))[0].split()
             words[k] = b" ".join(split[at[k] : stop[k]])
-        bucket = left.column("bucket")[0].as_py()
         rows = {k: [] for k in _LENT.names}
         for i, j in _split(asker):
-            for k, v in zip(_LENT.names, (int(asker[i]), bucket, j - i, squeeze(row[i:j]), squeeze(at[i:j].astype(np.int32)), words[i:j]), strict=True):
+            for k, v in zip(_LENT.names, (int(asker[i]), j - i, squeeze(row[i:j]), squeeze(at[i:j].astype(np.int32)), words[i:j]), strict=True):
                 rows[k].append(v)
         return pa.table(rows, schema=_LENT)
 
     return run
 
 
+_CONFUSED = "different words have one 128-bit hash: change the hash keys in textkit and run again"
+
+
 def _equal(codes: np.ndarray, left: np.ndarray, right: np.ndarray, window: int) -> None:
     """Raises unless the windows that begin at these words are equal word by word."""
     for k in range(window):
         if not np.array_equal(codes[left + k], codes[right + k]):
-            raise RuntimeError("different words have one 128-bit hash: change the hash keys in textkit and run again")
+            raise RuntimeError(_CONFUSED)
+
+
+def _repeats(codes: np.ndarray, pos: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that begin at ``pos``, equal ones side by side and by place; which repeat one before; the first equal one of each."""
+    if not len(pos):
+        return pos, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+    lanes: list[np.ndarray] = []
+    for lane in (0, 1):  # one lane decides nearly always; what it confuses is told by both
+        lanes.insert(0, run_hashes(mix(codes.astype(np.uint64) ^ np.uint64(lane)), window, lane)[pos])
+        order = np.argsort(lanes[0], kind="stable") if not lane else np.lexsort(lanes)
+        same = np.zeros(len(pos), dtype=bool)
+        same[1:] = np.logical_and.reduce([h[order][1:] == h[order][:-1] for h in lanes])
+        first, p = np.maximum.accumulate(np.where(same, 0, np.arange(len(pos)))), pos[order]
+        if all(np.array_equal(codes[p[same] + k], codes[p[first[same]] + k]) for k in range(window)):
+            return p, same, first
+    raise RuntimeError(_CONFUSED)
 
 
 def _cut(window: int):
@@ -258,16 +279,10 @@ def _cut(window: int):
         given = np.asarray(right.column("words").is_valid()) if right.num_rows else np.zeros(0, dtype=bool)
         late, lent = right.filter(pa.array(~given)), right.filter(pa.array(given))
         spans = [w for group in lent.column("words").to_pylist() for w in group]
-        words = Words(texts + spans, lanes=2)
+        words = Words(texts + spans, lanes=0)
         codes, starts = words.codes, words.doc_start
         pos = words.inside(window)
-        pos = pos[pos < starts[len(texts)]]
-        high, low = (run_hashes(h, window, k)[pos] if len(pos) else np.zeros(0, dtype=np.uint64) for k, h in enumerate(words.lanes))
-        order = np.lexsort((pos, low, high))
-        h, g, p = high[order], low[order], pos[order]
-        same = np.concatenate([[False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])]) if len(p) else np.zeros(0, dtype=bool)
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(p)))) if len(p) else np.zeros(0, dtype=np.int64)
-        _equal(codes, p[same], p[first[same]], window)
+        p, same, first = _repeats(codes, pos[pos < starts[len(texts)]], window)
         if late.num_rows:
             by_row = np.argsort(row, kind="stable")
             mine = starts[:-1][by_row[np.searchsorted(row[by_row], _column(late, "row", np.int64))]] + _column(late, "at", np.int32)
@@ -330,9 +345,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     anchors = probes.groupBy("part").applyInArrow(_anchors, _ddl(_ANCHORS))
     found = rows.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(_extend(parts, block, window), _ddl(_WINDOWS))
     late = materialize(found.groupBy("part").applyInArrow(_late, _ddl(_LATE)), "late")
-    asked = late.select(F.col("source").alias("bucket"), F.col("bucket").alias("asker"), "n", "of_row", "of_at")
+    asked = late.where("other is not null").select("bucket", "n", "of_row", "of_at", "other")
     lent = rows.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_lend(window), _ddl(_LENT))
-    both = late.withColumn("words", F.lit(None).cast("array<binary>")).unionByName(lent, allowMissingColumns=True)
+    both = late.where("other is null").drop("other").withColumn("words", F.lit(None).cast("array<binary>")).unionByName(lent, allowMissingColumns=True)
     return rows.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(_cut(window), _ddl(_RESULT))
 
 

@@ -171,18 +171,15 @@ def q23(spark, d):
 
 @query("q24_header_flatten", """WITH p AS (SELECT p_partkey AS table_id, p_brand, p_type FROM part),
 h AS (SELECT table_id, unnest([struct_pack(col_idx := 0, name := 'Id'), struct_pack(col_idx := 1, name := p_brand || ' > Qty'), struct_pack(col_idx := 2, name := p_brand || ' > Price'),
-  struct_pack(col_idx := 3, name := CASE WHEN table_id % 2 = 0 THEN 'Total wt' ELSE 'Total > Share' END), struct_pack(col_idx := 4, name := 'Col_5')]) AS c FROM p)
+  struct_pack(col_idx := 3, name := CASE WHEN table_id % 2 = 0 THEN 'Total wt' ELSE 'Total > Share' END), struct_pack(col_idx := 4, name := 'Total')]) AS c FROM p)
 SELECT table_id, c.col_idx AS col_idx, c.name AS name FROM h""")
 def q24(spark, d):
     parts = read(spark, d, "part").withColumnRenamed("p_partkey", "table_id")
     top = F.array(F.lit("Id"), F.col("p_brand"), F.lit(""), F.lit("Total"), F.lit("nan"))
     low = F.array(F.lit("ID"), F.lit("Qty"), F.lit("Price"), F.when(F.col("table_id") % 2 == 0, "Total wt").otherwise("Share"), F.lit(""))
-    # the fifth column's parent ends with the fourth: a mark that is no text keeps it empty
-    top = F.transform(top, lambda x, i: F.when(i == 4, F.lit("​")).otherwise(x))
     levels = parts.select("table_id", F.explode(F.array(F.struct(F.lit(0).alias("level"), top.alias("v")), F.struct(F.lit(1).alias("level"), low.alias("v")))).alias("s"))
-    cells = levels.select("table_id", "s.level", F.posexplode("s.v").alias("col_idx", "text"))
-    flat = shape.flatten_headers(cells)
-    return flat.select("table_id", "col_idx", F.when(F.col("name") == "​", "Col_5").otherwise(F.col("name")).alias("name"))
+    # an empty text below another goes on with the text on its left
+    return shape.flatten_headers(levels.select("table_id", "s.level", F.posexplode("s.v").alias("col_idx", "text")))
 
 
 @query("q25_header_promote", f"""WITH {CELLS_SQL}, w AS (SELECT table_id, CASE WHEN table_id % 3 = 0 THEN row_idx + 1 ELSE row_idx END AS row_idx, col_idx, text FROM order_cells WHERE col_idx IN (0, 2, 3)

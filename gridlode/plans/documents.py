@@ -57,10 +57,16 @@ def q13(spark, d):
     return ledger.references_section(profile.caption_lines(lines)).select("doc_id", "line_no", "is_caption", "in_references", t.canonical_label(t.find_label(F.col("line"))).alias("label"))
 
 
-@query("q14_url_publisher", r"""SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, CASE WHEN lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = '' THEN 'none' ELSE 'general' END AS publisher, regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), '\.pdf$') AS is_pdf FROM pages""")
+# every page's own link, and one at a known or hostile place for each
+_PLANTED_URLS = ("https://www.sciencedirect.com/a.pdf?x=1", "https://kns.cnki.net/x", "https://link.springer.com/book.PDF#p", "HTTP://ONLINELIBRARY.WILEY.COM/y.pdf.html", "no link", "https://www.nature.com/z", "https://linkinghub.elsevier.com/r")
+
+
+@query("q14_url_publisher", rf"""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT -1 - page_id, ({list(_PLANTED_URLS)})[1 + page_id % {len(_PLANTED_URLS)}] FROM pages), h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), '\.pdf$') AS is_pdf FROM u)
+SELECT page_id, host, CASE WHEN host = '' THEN 'none' WHEN host LIKE '%cnki.%' THEN 'cnki' WHEN host LIKE '%sciencedirect.com%' OR host LIKE '%elsevier.com%' THEN 'elsevier' WHEN host LIKE '%springer%' OR host LIKE '%nature.com%' THEN 'springer' WHEN host LIKE '%wiley.com%' THEN 'wiley' ELSE 'general' END AS publisher, is_pdf FROM h""")
 def q14(spark, d):
-    u = F.col("url")
-    return read(spark, d, "pages").select("page_id", t.host(u).alias("host"), t.publisher(u).alias("publisher"), t.looks_like_pdf(u).alias("is_pdf"))
+    pages, u = read(spark, d, "pages").select("page_id", "url"), F.col("url")
+    planted = pages.select((-1 - F.col("page_id")).alias("page_id"), F.get(F.array(*[F.lit(x) for x in _PLANTED_URLS]), (F.col("page_id") % len(_PLANTED_URLS)).cast("int")).alias("url"))
+    return pages.unionByName(planted).select("page_id", t.host(u).alias("host"), t.publisher(u).alias("publisher"), t.looks_like_pdf(u).alias("is_pdf"))
 
 
 @query("q15_ids", """SELECT o_orderkey, (1000 + o_orderkey % 9000) || '.' || (10000 + o_custkey % 90000) AS arxiv, 'PMC' || (100000 + o_orderkey) AS pmc, '10.' || (1000 + o_custkey % 9000) || '/x' || o_orderkey AS doi, (1900 + o_orderkey % 200)::INT AS year FROM orders""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import arbitrate, audit, catalog, profile, similarity
+from .cells import _SQUEEZED_CTE, _squeezed_cells
 from .fixtures import CELLS_SQL, ROWS_SQL, order_cells, order_headers, order_rows, read
 
 QUERIES, SQL = {}, {}
@@ -136,10 +137,26 @@ def q52(spark, d):
     return audit.confusion(rows.drop("l_partkey"), got.drop("l_partkey"))
 
 
-@query("q54_audit_dimensions", f"""WITH {CELLS_SQL}, c AS (SELECT table_id, row_idx, trim(text) AS s FROM order_cells), m AS (SELECT *, regexp_matches(s, '^[<>]?[-+]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$') OR regexp_matches(s, '^[0-9]+(\\.[0-9]+)? *[±~～-] *[0-9]+(\\.[0-9]+)?$') AS num FROM c)
-SELECT table_id, count(*) FILTER (num AND lower(s) NOT IN ('', 'nan', 'none', '-')) AS numeric_cells, 0::BIGINT AS squeezed_cells, 0::BIGINT AS multiline_cells, false AS unnamed, round(1 - count(*) FILTER (lower(s) NOT IN ('', 'nan', 'none')) / ((max(row_idx) + 1) * 5), 6) AS sparsity, false AS footnote_embedded, 0::BIGINT AS anomalies FROM m GROUP BY 1""")
+# order tables with squeezed cells, line feeds, made-up names and a note as last row
+_PLANTED = f"""{CELLS_SQL}, planted AS (SELECT table_id, row_idx, col_idx, CASE WHEN table_id % 4 = 1 AND col_idx = 0 THEN 'rows 12.50 and ' || row_idx || ' were read' WHEN table_id % 4 = 0 AND col_idx = 3 THEN text || chr(10) || 'x' ELSE text END AS text FROM order_cells
+  UNION ALL SELECT table_id, n, c, CASE WHEN c = 0 THEN 'Note: all values are those of the order' ELSE '' END FROM (SELECT table_id, max(row_idx) + 1 AS n FROM order_cells WHERE table_id % 2 = 0 GROUP BY 1) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) k(c))"""
+
+
+def _planted(spark, d):
+    cells, m = order_cells(spark, d), F.col("table_id") % 4
+    text = F.when((m == 1) & (F.col("col_idx") == 0), F.concat(F.lit("rows 12.50 and "), F.col("row_idx"), F.lit(" were read"))).when((m == 0) & (F.col("col_idx") == 3), F.concat("text", F.lit("\nx"))).otherwise(F.col("text"))
+    notes = cells.where("table_id % 2 = 0").groupBy("table_id").agg((F.max("row_idx") + 1).alias("row_idx")).select("table_id", "row_idx", F.posexplode(F.array(F.lit("Note: all values are those of the order"), *[F.lit("")] * 4)).alias("col_idx", "text"))
+    heads = order_headers(spark, d).withColumn("name", F.when(F.col("table_id") % 3 == 0, F.concat(F.lit("Col_"), F.col("col_idx") + 1)).otherwise(F.col("name")))
+    return cells.withColumn("text", text).unionByName(notes), heads
+
+
+@query("q54_audit_dimensions", f"""WITH {_PLANTED}, c AS (SELECT table_id, row_idx, col_idx, text, trim(text, ' ') AS s FROM planted), m AS (SELECT *, regexp_matches(s, '^[<>]?[-+]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$') OR regexp_matches(s, '^[0-9]+(\\.[0-9]+)? *[±~～-] *[0-9]+(\\.[0-9]+)?$') AS num, lower(s) NOT IN ('', 'nan', 'none', '-') AS has,
+  len(list_filter(string_split_regex(s, '\\s+'), lambda x: regexp_matches(x, '^-?[0-9]+(\\.[0-9]+)?$'))) AS numbers FROM c),
+t AS (SELECT table_id, count(*) FILTER (num AND has) AS numeric_cells, count(*) FILTER (has AND NOT num AND length(s) > 20 AND numbers >= 2) AS squeezed_cells, count(*) FILTER (contains(text, chr(10))) AS multiline_cells, table_id % 3 = 0 AS unnamed,
+  round(1 - count(*) FILTER (lower(s) NOT IN ('', 'nan', 'none')) / ((max(row_idx) + 1) * 5), 6) AS sparsity, arg_max(CASE WHEN col_idx = 0 THEN text END, row_idx) LIKE 'Note:%' AS footnote_embedded FROM m GROUP BY 1)
+SELECT *, unnamed::INT::BIGINT + (squeezed_cells > 0)::INT::BIGINT + footnote_embedded::INT::BIGINT AS anomalies FROM t""")
 def q54(spark, d):
-    return audit.table_dimensions(order_cells(spark, d), order_headers(spark, d)).withColumn("sparsity", F.round("sparsity", 6))
+    return audit.table_dimensions(*_planted(spark, d)).withColumn("sparsity", F.round("sparsity", 6))
 
 
 @query("q55_audit_report", """WITH d AS (SELECT o_orderkey, c_mktsegment, count(l_orderkey) AS n, coalesce(sum(CASE WHEN l_partkey % 13 = 0 THEN 1 ELSE 0 END), 0) AS anomalies FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -176,10 +193,15 @@ def q60(spark, d):
     return catalog.todo(read(spark, d, "orders").select("o_orderkey", "o_custkey"), done, "o_orderkey", recheck_below=30)
 
 
-@query("q64_quality_gate", f"""WITH {CELLS_SQL}, f AS (SELECT table_id, count(*) FILTER (lower(trim(text)) NOT IN ('', 'nan', 'none')) / (max(row_idx + 1) * 5) < 0.5 AS g1 FROM order_cells GROUP BY 1), b AS (SELECT table_id, bool_or(e) AS g4 FROM (SELECT table_id, col_idx, bool_and(trim(text) = '') AS e FROM order_cells GROUP BY 1, 2) GROUP BY 1)
-SELECT table_id, g1 AS g1_sparse, false AS g2_unnamed, false AS g3_squeezed, g4 AS g4_blank_columns, g1::INT::BIGINT + g4::INT::BIGINT AS n_alarms FROM f JOIN b USING (table_id)""")
+# squeezed columns as in q20, names made up by a parser for every third table, and a blank fourth column for every fifth
+@query("q64_quality_gate", f"""WITH {_SQUEEZED_CTE}, w AS (SELECT table_id, row_idx, col_idx, text FROM cells UNION ALL SELECT table_id, row_idx, 3, CASE WHEN table_id % 5 = 0 THEN '' ELSE 'x' END FROM base),
+f AS (SELECT table_id, count(*) FILTER (lower(trim(text, ' ')) NOT IN ('', 'nan', 'none')) / (max(row_idx + 1) * 4) < 0.5 AS g1 FROM w GROUP BY 1), b AS (SELECT table_id, bool_or(e) AS g4 FROM (SELECT table_id, col_idx, bool_and(lower(trim(text, ' ')) IN ('', 'nan', 'none')) AS e FROM w GROUP BY 1, 2) GROUP BY 1), q AS (SELECT table_id, bool_or(squeezed) AS g3 FROM sq GROUP BY 1)
+SELECT table_id, g1 AS g1_sparse, table_id % 3 = 0 AS g2_unnamed, coalesce(g3, false) AS g3_squeezed, g4 AS g4_blank_columns, g1::INT::BIGINT + (table_id % 3 = 0)::INT::BIGINT + coalesce(g3, false)::INT::BIGINT + g4::INT::BIGINT AS n_alarms FROM f JOIN b USING (table_id) LEFT JOIN q USING (table_id)""")
 def q64(spark, d):
-    return profile.quality_gate(order_cells(spark, d), order_headers(spark, d))
+    cells = _squeezed_cells(spark, d).select("table_id", "row_idx", "col_idx", "text")
+    fourth = cells.where("col_idx = 0").select("table_id", "row_idx", F.lit(3).alias("col_idx"), F.when(F.col("table_id") % 5 == 0, "").otherwise("x").alias("text"))
+    heads = cells.select("table_id").distinct().select("table_id", F.posexplode(F.array(*[F.when(F.col("table_id") % 3 == 0, f"Unnamed: {k}").otherwise(n) for k, n in enumerate(("Sample", "Qty", "Price", "Flag"))])).alias("col_idx", "name"))
+    return profile.quality_gate(cells.unionByName(fourth), heads)
 
 
 @query("q65_low_quality", f"""WITH {CELLS_SQL}, c AS (SELECT table_id, row_idx, col_idx, CASE WHEN table_id % 6 = 0 AND col_idx IN (1, 2, 3, 4) THEN '' WHEN table_id % 6 = 1 AND col_idx > 2 THEN '' ELSE text END AS text FROM order_cells),

@@ -22,26 +22,39 @@ def script(text: str, raised: bool) -> str:
     return "".join(table[c] for c in text) if text and all(c in table for c in text) else ("^" if raised else "_") + "{" + text + "}" if text.strip() else text
 
 
+MOST_RIGHT, MOST_CELLS = 1_000, 2_000_000
+
+
 def place_spans(rows: list[list[tuple[str, int, int, bool]]]) -> list[list[tuple[str, bool]]]:
-    """Cells (text, row span, column span, header) to a full grid: a cell takes the next free place and covers its block."""
+    """Cells (text, row span, column span, header) to a full grid: a cell takes the next free place and covers its block.
+
+    Spans are bounded as browsers do (MOST_RIGHT columns) and by the rows that are there; a grid of over MOST_CELLS cells is none.
+    """
     taken: dict[tuple[int, int], tuple[str, bool]] = {}
     for r, row in enumerate(rows):
         c = 0
         for text, down, right, head in row:
             while (r, c) in taken:
                 c += 1
-            for i in range(max(1, down)):
-                for j in range(max(1, right)):
+            down, right = min(max(1, down), len(rows) - r), min(max(1, right), MOST_RIGHT)
+            if len(taken) + down * right > MOST_CELLS:
+                return []
+            for i in range(down):
+                for j in range(right):
                     taken.setdefault((r + i, c + j), (text, head))
-            c += max(1, right)
+            c += right
     if not taken:
         return []
     height, width = max(r for r, _ in taken) + 1, max(c for _, c in taken) + 1
+    if min(height, len(rows)) * width > MOST_CELLS:
+        return []
     return [[taken.get((r, c), ("", False)) for c in range(width)] for r in range(min(height, len(rows)))]
 
 
 def _number(value: str | None) -> int:
-    return int(value) if value and value.strip().isdigit() and int(value) > 0 else 1
+    """A span of ASCII digits; 1 for anything else."""
+    value = (value or "").strip()
+    return int(value) if value.isascii() and value.isdigit() and len(value) <= 6 and int(value) > 0 else 1
 
 
 class _Tables(HTMLParser):
@@ -165,6 +178,12 @@ def _named(e: ET.Element, name: str) -> list[ET.Element]:
     return [x for x in e.iter() if _local(x) == name]
 
 
+def _more(value: str | None) -> int:
+    """Rows that an entry covers, from the number of rows more than one."""
+    value = (value or "").strip()
+    return int(value) + 1 if value.isascii() and value.isdigit() and len(value) <= 6 else 1
+
+
 def _cals_rows(group: ET.Element) -> tuple[list[list[tuple[str, int, int, bool]]], int]:
     columns = {c.get("colname"): i for i, c in enumerate(x for x in group if _local(x) == "colspec")}
     rows, heads = [], 0
@@ -175,7 +194,7 @@ def _cals_rows(group: ET.Element) -> tuple[list[list[tuple[str, int, int, bool]]
                 for entry in (x for x in row if _local(x) == "entry"):
                     first, last = columns.get(entry.get("namest")), columns.get(entry.get("nameend"))
                     right = last - first + 1 if first is not None and last is not None else 1
-                    cells.append((_xml_text(entry), _number(str(int(entry.get("morerows", "0") or 0) + 1)), right, _local(part) == "thead"))
+                    cells.append((_xml_text(entry), _more(entry.get("morerows")), right, _local(part) == "thead"))
                 rows.append(cells)
                 heads += _local(part) == "thead"
     return rows, heads

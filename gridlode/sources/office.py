@@ -76,17 +76,29 @@ def xlsx_tables(content: bytes) -> list[tuple[str, list[list[str]]]]:
                 for k, c in enumerate(x for x in row if _name(x) == "c"):
                     value = next((v.text or "" for v in c if _name(v) == "v"), None)
                     if c.get("t") == "s" and value is not None:
-                        value = shared[int(value)]
+                        value = shared[int(value)] if value.isascii() and value.isdigit() and int(value) < len(shared) else ""
                     elif c.get("t") == "inlineStr":
                         value = "".join(t.text or "" for t in _find(c, "t"))
                     if value:
                         cells[int(row.get("r") or r + 1) - 1, _column(c.get("r")) if c.get("r") else k] = value
             if cells:
                 top, height, width = min(r for r, _ in cells), max(r for r, _ in cells) + 1, max(c for _, c in cells) + 1
-                out.append((titles[i] if i < len(titles) else "", [[cells.get((r, c), "") for c in range(width)] for r in range(top, height)]))
+                rows = range(top, height)
+                if (height - top) * width > SPARSE * len(cells) + MOST_EMPTY:  # far cells: only the rows and columns that hold something
+                    rows = sorted({r for r, _ in cells})
+                    place = {c: k for k, c in enumerate(sorted({c for _, c in cells}))}
+                    cells, width = {(r, place[c]): v for (r, c), v in cells.items()}, len(place)
+                    if len(rows) * width > SPARSE * len(cells) + MOST_EMPTY:
+                        continue
+                out.append((titles[i] if i < len(titles) else "", [[cells.get((r, c), "") for c in range(width)] for r in rows]))
     return out
 
 
+#: A sheet's grid may have so many times its filled cells, and so many cells besides; else empty rows and columns go, and a sheet that is
+#: sparse even so is no table.
+SPARSE, MOST_EMPTY = 50, 100_000
+
+
 def scan_office(spark: SparkSession, path: str) -> DataFrame:
     """Cells of all tables in the .docx and .xlsx files under a path; files that are not zip archives give none."""
     files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(?:docx|xlsx)$")).select("path", "content")
@@ -97,7 +109,7 @@ def scan_office(spark: SparkSession, path: str) -> DataFrame:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     tables = docx_tables(bytes(content)) if p.lower().endswith(".docx") else xlsx_tables(bytes(content))
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, StopIteration):
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, StopIteration, ValueError, IndexError):
                     continue
                 for n, (label, grid) in enumerate(tables):
                     rows += [(p, n, label, r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)]

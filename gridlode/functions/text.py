@@ -319,7 +319,7 @@ def safe_file_name(name: Column, longest: int = 120) -> Column:
 
 def parse_page_ranges(text: Column) -> Column:
     """``1-3,5`` -> [0, 1, 2, 4]: zero-based, distinct, ascending."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p.rlike("^[0-9]+(?:-[0-9]+)?$"))
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p.rlike("^[0-9]+(?:-[0-9]+)?$"))
     first = lambda p: F.substring_index(p, "-", 1).cast("int")
     last = lambda p: F.substring_index(p, "-", -1).cast("int")
     ordered = F.filter(parts, lambda p: first(p) <= last(p))

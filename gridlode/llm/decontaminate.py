@@ -52,22 +52,18 @@ def _shingle_hashes(words: Column, size: Column, first: Column, last: Column) ->
     return F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
 
-def _spread(hash_: Column, bits: tuple[int, ...]) -> Column:
-    """The given bits of a hash, each in a lane of its own, so that one sum counts them all."""
-    out = F.getbit(hash_, F.lit(bits[0])).cast("long")
-    for lane, k in enumerate(bits[1:], 1):
-        out = out + F.shiftleft(F.getbit(hash_, F.lit(k)).cast("long"), lane * LANE)
-    return out
+def _spread(hash_: str) -> list[Column]:
+    """The bits of a hash, three to a long and each in a lane of its own, so that a sum counts them all. Written as SQL: one call for each long."""
+    one = lambda lane, k: f"shiftleft(getbit({hash_}, {k}), {lane * LANE})" if lane else f"getbit({hash_}, {k})"
+    as_long = lambda lane, k: one(lane, k).replace(f"getbit({hash_}, {k})", f"CAST(getbit({hash_}, {k}) AS BIGINT)")
+    return [F.expr(" + ".join(as_long(lane, k) for lane, k in enumerate(bits))).alias(f"b{j}") for j, bits in enumerate(LANES)]
 
 
-def _print(sums: list[Column], total: Column) -> Column:
-    """The fingerprint: a bit is set if more than half of the weight has it."""
-    out = F.lit(0).cast("long")
-    for s, bits in zip(sums, LANES, strict=True):
-        for lane, k in enumerate(bits):
-            ones = F.shiftrightunsigned(s, lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1).cast("long"))
-            out = out.bitwiseOR(F.when(ones * 2 > total, F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+def _print(kind: str) -> Column:
+    """The fingerprint from the sums of a kind: a bit is set if more than half of the weight has it."""
+    ones = lambda j, lane: f"(shiftrightunsigned({kind}{j}, {lane * LANE}) & {(1 << LANE) - 1}L)"
+    bits = [f"shiftleft(CAST({ones(j, lane)} * 2 > {kind} AS BIGINT), {k})" for j, lane_bits in enumerate(LANES) for lane, k in enumerate(lane_bits)]
+    return F.expr(" | ".join(bits))
 
 
 def _block_values(print_: Column, radius: int) -> Column:
@@ -95,14 +91,19 @@ def _item_tables(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     counted = materialize(hashed.groupBy("item_id", "length", "size", "shingles", "hash").agg(F.count(F.lit(1)).alias("times")), "items")
     if (counted.agg(F.max("length")).first()[0] or 0) >= 1 << LANE - 1:
         raise ValueError("an item has 2**20 words or more")
-    weight = {"counts": F.col("times"), "distinct": F.lit(1).cast("long")}
-    sums = counted.groupBy("item_id", "length").agg(*[F.sum(_spread(F.col("hash"), bits) * w).alias(f"{k}{j}") for k, w in weight.items() for j, bits in enumerate(LANES)], *[F.sum(w).alias(k) for k, w in weight.items()])
+    sums = counted.select("item_id", "length", "times", *_spread("hash")).groupBy("item_id", "length").agg(*_weighted("times", "1L"))
     return counted, materialize(_prints(sums, ["item_id", "length"]), "prints")
 
 
+def _weighted(counts: str, distinct: str) -> list[Column]:
+    """Sums of the spread bits and of the weights, for both kinds of fingerprints."""
+    weight = dict(zip(KINDS, (counts, distinct), strict=True))
+    return [F.expr(f"sum(b{j} * {w})").alias(f"{k}{j}") for k, w in weight.items() for j in range(len(LANES))] + [F.expr(f"sum({w})").alias(k) for k, w in weight.items()]
+
+
 def _prints(sums: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each kind of fingerprint, from columns counts0, ..., counts, distinct0, ..., distinct."""
-    each = [F.struct(F.lit(k).alias("kind"), _print([F.col(f"{k}{j}") for j in range(len(LANES))], F.col(k)).alias("print")) for k in KINDS]
+    each = [F.struct(F.lit(k).alias("kind"), _print(k).alias("print")) for k in KINDS]
     return sums.select(*keys, F.explode(F.array(*each)).alias("f")).select(*keys, "f.kind", "f.print")
 
 
@@ -151,12 +152,9 @@ def _window_prints(positions: DataFrame, wanted: DataFrame, threshold: float) ->
     events = F.array(event(F.col("enters"), 1, 0), event(F.greatest("enters", F.coalesce(F.col("before") + 1, F.lit(0))), 0, 1), event(F.col("at") + 1, -1, -1))
     rows = rows.select("key", "length", "shingles", "held", "last", "hash", "known", F.explode(events).alias("e")).where(F.col("e.s") <= F.col("last"))
     facts = ["key", "length", "shingles", "held", "last"]
-    weight = {"counts": F.col("e.c"), "distinct": F.col("e.d")}
     names = [f"{k}{j}" for k in KINDS for j in range(len(LANES))] + [*KINDS, "hits"]
-    sums = rows.groupBy(*facts, F.col("e.s").alias("at")).agg(
-        *[F.sum(_spread(F.col("hash"), bits) * w).alias(f"{k}{j}") for k, w in weight.items() for j, bits in enumerate(LANES)],
-        *[F.sum(w).alias(k) for k, w in weight.items()], F.sum(F.col("known") * F.col("e.c")).alias("hits"),
-    )
+    rows = rows.select(*facts, F.col("e.s").alias("at"), F.col("e.c").alias("c"), F.col("e.d").alias("d"), "known", *_spread("hash"))
+    sums = rows.groupBy(*facts, "at").agg(*_weighted("c", "d"), F.expr("sum(known * c)").alias("hits"))
     running = Window.partitionBy("key", "length").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select(*facts, "at", *[F.sum(c).over(running).alias(c) for c in names])
     return _prints(sums.where(F.col("hits") >= _needed(threshold)), ["key", "length", "at"])

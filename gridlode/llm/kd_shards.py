@@ -68,11 +68,18 @@ def _chosen_key() -> Column:
     return out
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers as a table of the plan: no Python on the executors."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    listed = ", ".join("struct(" + ", ".join(f"CAST({v} AS {kind}) AS {name}" for v, name, kind in zip(row, names, kinds, strict=True)) + ")" for row in rows)
+    return spark.range(1).select(F.expr(f"inline(array({listed}))"))
+
+
 def place(points: DataFrame, levels: list[list[tuple]]) -> DataFrame:
     """``points`` with ``node``: a join with each level's cuts (node, dimension, at, left, right), which are fewer than the shards."""
     placed = points.withColumn("node", F.lit(0))
     for level in levels:
-        cuts = points.sparkSession.createDataFrame(level, "node int, dimension int, at long, left_node int, right_node int")
+        cuts = _rows(points.sparkSession, level, "node int, dimension int, at long, left_node int, right_node int")
         side = F.when(_chosen_key() >= F.col("at"), F.col("right_node")).otherwise(F.col("left_node"))
         joined = placed.join(F.broadcast(cuts), "node", "left")
         placed = joined.select(*points.columns, F.when(F.col("at").isNull(), F.col("node")).otherwise(side).alias("node"))
@@ -91,7 +98,7 @@ def _first_reaching(sums: DataFrame, keys: list[str]) -> DataFrame:
 def _cuts(placed: DataFrame, due: dict[int, int]) -> list[tuple[int, int, int]]:
     """(node, dimension, at) for each node that has points: the left side gets its share of bytes as nearly as can be."""
     spark = placed.sparkSession
-    shares = spark.createDataFrame(list(due.items()), "node int, k int")
+    shares = _rows(spark, list(due.items()), "node int, k int")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(d).alias("slot")) for k, d in enumerate(DIMENSIONS)])).alias("p")
     sums = placed.join(F.broadcast(shares), "node").select("node", "k", "size", each).groupBy("node", "k", "p.dimension", "p.slot").agg(F.sum("size").alias("b"))
     total = F.sum("b").over(Window.partitionBy("node", "dimension"))
@@ -105,7 +112,7 @@ def _cuts(placed: DataFrame, due: dict[int, int]) -> list[tuple[int, int, int]]:
     for known in range(KEY_BITS - VALUE_BITS, 0, -SLICE_BITS):
         if not found:
             break
-        asked = spark.createDataFrame([(n, f["dimension"], f["slot"], f["want"]) for n, f in found.items()], "node int, dimension int, prefix long, want long")
+        asked = _rows(spark, [(n, f["dimension"], f["slot"], f["want"]) for n, f in found.items()], "node int, dimension int, prefix long, want long")
         keyed = placed.join(F.broadcast(asked), "node").withColumn("key", _chosen_key()).where(F.shiftright("key", known) == F.col("prefix"))
         sums = keyed.groupBy("node", "want", F.shiftright("key", known - SLICE_BITS).alias("slot")).agg(F.sum("size").alias("b"))
         for r in _first_reaching(sums, ["node"]).collect():
@@ -159,7 +166,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of ``docs`` (doc_id, text, lang, source; others ignored)."""
     spark, points = docs.sparkSession, _points(docs, shards)
     levels, leaves = kd_tree(points, shards)
-    names = spark.createDataFrame([(n, i) for i, n in enumerate(leaves)], "node int, shard int")
+    names = _rows(spark, [(n, i) for i, n in enumerate(leaves)], "node int, shard int")
     placed = place(points, levels).join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", "shard")
     placed = materialize(placed, "placed")
     return _slots(placed, placed.count())

@@ -52,7 +52,7 @@ NEAR_ENOUGH = 1e-3
 SOURCE_SLOTS = 64
 LANG_SLOTS = 16
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!", b"?", b"|", b"#$%&*@^~_=+<>[]{}\\/`")
-WORD_SLOTS = 32
+WORD_SLOTS = 16
 DENSE = 22
 TEXT_FEATURES = DENSE + 2 * WORD_SLOTS
 
@@ -315,8 +315,9 @@ def _both(b) -> tuple[np.ndarray, np.ndarray]:
 
 def _measured(b) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch of the table of features."""
-    lang, source, n_chars = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "source", "n_chars"))
-    return b.column("text").flatten().to_numpy().reshape(-1, TEXT_FEATURES), meta_matrix(lang, source, n_chars)
+    whole = lambda c: x.combine_chunks() if isinstance(x := b.column(c), pa.ChunkedArray) else x
+    lang, source, n_chars = (whole(c).to_numpy(zero_copy_only=False) for c in ("lang", "source", "n_chars"))
+    return whole("text").flatten().to_numpy().reshape(-1, TEXT_FEATURES), meta_matrix(lang, source, n_chars)
 
 
 def feature_table(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -338,12 +339,14 @@ def feature_table(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     table, picked = feature_table(docs, labels)
     # MAX_LABELLED ids are broadcast at most, and so many rows of features come to the driver
-    rows = table.where("quality is not null").join(F.broadcast(picked), "doc_id").toPandas()
-    if not len(rows):
+    rows = table.where("quality is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "quality").toArrow()
+    if not rows.num_rows:
         return QualityModel(1.0)
-    rows = rows.iloc[np.argsort(mix(rows["doc_id"].to_numpy().astype(np.uint64)), kind="stable")]
-    text, meta = np.stack(rows["text"].to_list()), meta_matrix(*(rows[c].to_numpy() for c in ("lang", "source", "n_chars")))
-    return co_train(text, meta, rows["quality"].to_numpy(dtype=float), TablePool(table.where("quality is null").drop("quality")))
+    order = np.argsort(mix(rows.column("doc_id").to_numpy().astype(np.uint64)), kind="stable")
+    text, meta = _measured(rows)
+    y = rows.column("quality").to_numpy().astype(float)[order]
+    text, meta, rows = text[order], meta[order], None
+    return co_train(text, meta, y, TablePool(table.where("quality is null").drop("quality")))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -36,8 +36,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
+    if not hasattr(spark.sparkContext, "_gridlode_tables"):
+        spark.sparkContext._gridlode_tables = []
+    spark.sparkContext._gridlode_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this application has written, and says how many; call it when results are stored."""
+    paths, jvm = getattr(spark.sparkContext, "_gridlode_tables", []), spark.sparkContext._jvm
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    done = len(paths)
+    del paths[:]
+    return done
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,3 +22,19 @@ def test_whole_pipeline_on_a_small_corpus(spark, make_docs, tmp_path):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
     assert not ids & {300, 301, 302} and not any(400 <= i < 460 for i in ids)
     assert len(ids) > 120
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, make_docs, odd_rows, tmp_path):
+    from gridlode.llm.store import discard
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = make_docs([*odd_rows, (20, prose(20, 50)), (20, prose(20, 50))], extra=True)
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(out.columns) == {*docs.columns, "shard"}
+    ids = [r.doc_id for r in out.collect()]
+    assert set(ids) <= {i for i, _ in odd_rows} | {20} and ids.count(20) <= 1 and not {8, 9} <= set(ids)
+    assert discard(spark) > 0 and discard(spark) == 0

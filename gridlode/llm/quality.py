@@ -52,7 +52,7 @@ NEAR_ENOUGH = 1e-3
 SOURCE_SLOTS = 64
 LANG_SLOTS = 16
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!", b"?", b"|", b"#$%&*@^~_=+<>[]{}\\/`")
-WORD_SLOTS = 16
+WORD_SLOTS = 32
 DENSE = 22
 TEXT_FEATURES = DENSE + 2 * WORD_SLOTS
 

@@ -67,10 +67,9 @@ def q05(spark, d):
     return typed.groupBy("kind", "col_idx", "typed").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("num"), F.lit(0.0)), 2).alias("total"))
 
 
-@query("q06_formula_escape", f"WITH {CELLS_SQL}, k AS (SELECT text, {_TYPES_SQL} AS kind FROM order_cells WHERE col_idx = 4) SELECT CASE WHEN regexp_matches(text, '^[=+@-]') AND kind NOT IN ('int', 'float') THEN '''' || text ELSE text END AS safe, CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' || text ELSE text END AS quoted, count(*) AS n FROM k GROUP BY 1, 2")
+@query("q06_formula_escape", f"WITH {CELLS_SQL}, k AS (SELECT text, {_TYPES_SQL} AS kind FROM order_cells) SELECT CASE WHEN regexp_matches(text, '^[=+@-]') AND kind NOT IN ('int', 'float') THEN '''' || text ELSE text END AS safe, CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' || text ELSE text END AS quoted, count(*) AS n FROM k GROUP BY 1, 2")
 def q06(spark, d):
-    codes = order_cells(spark, d).where("col_idx = 4")
-    return codes.groupBy(t.escape_formula(F.col("text")).alias("safe"), t.escape_formula(F.col("text"), False).alias("quoted")).agg(F.count(F.lit(1)).alias("n"))
+    return order_cells(spark, d).groupBy(t.escape_formula(F.col("text")).alias("safe"), t.escape_formula(F.col("text"), False).alias("quoted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q07_merge_key", """SELECT c_custkey, c_custkey::VARCHAR AS k_int, c_custkey::VARCHAR AS k_float, '0' || c_custkey AS k_code,
@@ -83,7 +82,9 @@ def q07(spark, d):
     )
 
 
-@query("q08_label_format")
+@query("q08_label_format", """WITH r AS (SELECT o_orderkey % 97 AS n FROM orders)
+SELECT CASE n % 4 WHEN 0 THEN 'TABLE ' || n || '. Orders' WHEN 1 THEN 'Tab. ' || n WHEN 2 THEN '表 ' || n || '.1' ELSE 'Supplementary  Table S' || n || ': more' END AS raw,
+  CASE n % 4 WHEN 0 THEN 'Table ' || n WHEN 1 THEN 'Table ' || n WHEN 2 THEN '表' || n || '.1' ELSE 'Supplementary Table S' || n END AS label, n % 4 = 3 AS supplementary, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def q08(spark, d):
     rows = read(spark, d, "orders")
     n = F.col("o_orderkey") % 97
@@ -101,15 +102,15 @@ def q09(spark, d):
 
 
 @query("q12_numeric_tokens", r"""WITH n AS (SELECT source, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS tok FROM documents)
-SELECT source, tok::DOUBLE AS value, count(*) AS n FROM n WHERE length(tok) <= 15 GROUP BY 1, 2""")
+SELECT source, tok::DOUBLE AS value, count(*) AS n FROM n GROUP BY 1, 2""")
 def q12(spark, d):
     toks = read(spark, d, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("tok"))
-    return toks.where(F.length("tok") <= 15).groupBy("source", F.col("tok").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return toks.groupBy("source", F.col("tok").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q80_all_numeric_tokens")
 def q80(spark, d):
-    """Every numeric token by its canonical value; q12 counts bare runs of digits of at most 15 characters only, which its SQL can compare as doubles."""
+    """Every numeric token by its canonical value, with signs, commas, exponents and ranges; q12 counts bare runs of digits as doubles."""
     toks = read(spark, d, "documents").select("source", F.explode(t.numeric_tokens(F.col("text"))).alias("value"))
     return toks.groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -182,31 +183,31 @@ def q24(spark, d):
     return shape.flatten_headers(levels.select("table_id", "s.level", F.posexplode("s.v").alias("col_idx", "text")))
 
 
-@query("q25_header_promote", f"""WITH {CELLS_SQL}, w AS (SELECT table_id, CASE WHEN table_id % 3 = 0 THEN row_idx + 1 ELSE row_idx END AS row_idx, col_idx, text FROM order_cells WHERE col_idx IN (0, 2, 3)
-  UNION ALL SELECT DISTINCT table_id, 0, c.col_idx, CASE c.col_idx WHEN 0 THEN 'Sample' WHEN 2 THEN '2020' ELSE 'Flag' END FROM order_cells CROSS JOIN (VALUES (0), (2), (3)) c(col_idx) WHERE table_id % 3 = 0),
+@query("q25_header_promote", f"""WITH {CELLS_SQL}, w AS (SELECT table_id, CASE WHEN table_id % 3 = 0 THEN row_idx + 1 ELSE row_idx END AS row_idx, col_idx, text FROM order_cells
+  UNION ALL SELECT DISTINCT table_id, 0, c.col_idx, CASE c.col_idx WHEN 0 THEN 'Sample' WHEN 1 THEN 'Qty' WHEN 2 THEN '2020' WHEN 3 THEN 'Flag' ELSE 'Code' END FROM order_cells CROSS JOIN (VALUES (0), (1), (2), (3), (4)) c(col_idx) WHERE table_id % 3 = 0),
 n AS (SELECT *, trim(text) AS s, regexp_matches(replace(trim(text), ',', ''), '^([<>≤≥] *)?[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$') OR regexp_matches(lower(trim(text)), '^(n\\.? *d\\.?|b\\.?d\\.?l\\.?|n/?a|none|[-–—]+)$') AS num, regexp_matches(trim(text), '^(18[0-9]{{2}}|19[0-9]{{2}}|20[0-9]{{2}}|2100)$') AS yr FROM w),
 c AS (SELECT table_id, col_idx, max(s) FILTER (row_idx = 0) AS head, bool_or(num) FILTER (row_idx = 0) AS hn, bool_or(yr) FILTER (row_idx = 0) AS hy, max(row_idx) AS last, count(*) FILTER (row_idx > 0 AND s <> '') AS n, count(*) FILTER (row_idx > 0 AND s <> '' AND num) AS nums, count(*) FILTER (row_idx > 0 AND s <> '' AND yr) AS yrs FROM n GROUP BY 1, 2),
-t AS (SELECT table_id, max(last) AS last, bool_or(hn AND NOT hy AND n > 0 AND nums * 2 >= n) AS blocked, bool_or(hy AND n > 0 AND nums * 2 >= n AND NOT yrs * 2 >= n) AS y, bool_and(hy AND n > 0 AND NOT yrs * 2 >= n) AS ally, bool_or(NOT hn AND head <> '' AND n > 0 AND nums * 2 >= n) AS tx, bool_or(lower(head) IN ('sample', 'flag')) AND bool_or(lower(head) = 'sample') AS kw FROM c GROUP BY 1)
+t AS (SELECT table_id, max(last) AS last, bool_or(hn AND NOT hy AND n > 0 AND nums * 2 >= n) AS blocked, bool_or(hy AND n > 0 AND nums * 2 >= n AND NOT yrs * 2 >= n) AS y, bool_and(hy AND n > 0 AND NOT yrs * 2 >= n) AS ally, bool_or(NOT hn AND head <> '' AND n > 0 AND nums * 2 >= n) AS tx, bool_or(lower(head) IN ('sample', 'code')) AS kw FROM c GROUP BY 1)
 SELECT table_id, last >= 1 AND NOT blocked AND (y OR ally OR tx OR kw) AS promote FROM t""")
 def q25(spark, d):
-    cells = order_cells(spark, d).where("col_idx in (0, 2, 3)")
+    cells = order_cells(spark, d)
     moved = cells.select("table_id", F.when(F.col("table_id") % 3 == 0, F.col("row_idx") + 1).otherwise(F.col("row_idx")).alias("row_idx"), "col_idx", "text")
-    heads = order_headers(spark, d).where("table_id % 3 = 0 and col_idx in (0, 2, 3)").select("table_id", F.lit(0).alias("row_idx"), "col_idx", F.when(F.col("col_idx") == 2, "2020").otherwise(F.col("name")).alias("text"))
+    heads = order_headers(spark, d).where("table_id % 3 = 0").select("table_id", F.lit(0).alias("row_idx"), "col_idx", F.when(F.col("col_idx") == 2, "2020").otherwise(F.col("name")).alias("text"))
     return profile.promotable_first_rows(moved.unionByName(heads))
 
 
-_NOTED = """, noted AS (SELECT table_id, row_idx, col_idx, text FROM order_cells WHERE col_idx < 3
+_NOTED = """, noted AS (SELECT table_id, row_idx, col_idx, text FROM order_cells
   UNION ALL SELECT table_id, last + k.k, c.col_idx, CASE WHEN c.col_idx > 0 THEN '' WHEN k.k = 1 THEN 'Note: values of order ' || table_id ELSE '* p < 0.05 compared with the others' END
-  FROM (SELECT table_id, max(row_idx) AS last FROM order_cells GROUP BY 1) CROSS JOIN (VALUES (1), (2)) k(k) CROSS JOIN (VALUES (0), (1), (2)) c(col_idx) WHERE table_id % 2 = 0)"""
+  FROM (SELECT table_id, max(row_idx) AS last FROM order_cells GROUP BY 1) CROSS JOIN (VALUES (1), (2)) k(k) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) c(col_idx) WHERE table_id % 2 = 0)"""
 
 
 @query("q26_footnote_split", f"""WITH {CELLS_SQL}{_NOTED}, r AS (SELECT table_id, row_idx, max(CASE WHEN col_idx = 0 AND regexp_matches(text, '^(Note:|\\*)') THEN text END) AS note FROM noted GROUP BY 1, 2),
 f AS (SELECT *, bool_and(note IS NOT NULL) OVER (PARTITION BY table_id ORDER BY row_idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AND row_idx > 0 AS in_footer FROM r) SELECT table_id, row_idx::INT AS row_idx, in_footer, note FROM f""")
 def q26(spark, d):
-    cells = order_cells(spark, d).where("col_idx < 3").select("table_id", "row_idx", "col_idx", "text")
+    cells = order_cells(spark, d).select("table_id", "row_idx", "col_idx", "text")
     last = cells.groupBy("table_id").agg(F.max("row_idx").alias("last")).where("table_id % 2 = 0")
     texts = F.array(F.concat(F.lit("Note: values of order "), F.col("table_id")), F.lit("* p < 0.05 compared with the others"))
-    notes = last.select("table_id", "last", F.posexplode(texts).alias("k", "t")).select("table_id", (F.col("last") + F.col("k") + 1).alias("row_idx"), F.posexplode(F.array("t", F.lit(""), F.lit(""))).alias("col_idx", "text"))
+    notes = last.select("table_id", "last", F.posexplode(texts).alias("k", "t")).select("table_id", (F.col("last") + F.col("k") + 1).alias("row_idx"), F.posexplode(F.array("t", *[F.lit("")] * 4)).alias("col_idx", "text"))
     return shape.split_footnotes(cells.unionByName(notes)).withColumn("row_idx", F.col("row_idx").cast("int"))
 
 

@@ -48,7 +48,9 @@ def q11b(spark, d):
     return profile.pages_with_tables(read(spark, d, "documents"))
 
 
-@query("q13_caption_declarations")
+@query("q13_caption_declarations", """WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, o_orderkey % 6 AS k, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders)
+SELECT doc_id, line_no, k IN (0, 4) AS is_caption, bool_or(k = 3 AND line_no >= 0.6 * last) OVER (PARTITION BY doc_id ORDER BY line_no) AS in_references,
+  CASE WHEN k < 3 THEN 'Table ' || line_no WHEN k = 4 THEN '表' || line_no ELSE '' END AS label FROM l""")
 def q13(spark, d):
     o = read(spark, d, "orders")
     n = F.col("o_orderkey") % 6
@@ -211,16 +213,18 @@ def q73(spark, d):
     return out.groupBy("shared", "cols", F.col("label_match").alias("lm"), F.col("page_match").alias("pm")).agg(F.round(F.max("score"), 6).alias("best"), F.count(F.lit(1)).alias("n"))
 
 
-@query("q74_split_rows")
+@query("q74_split_rows", f"""WITH {ROWS_SQL} SELECT table_id || ':' || row_idx AS pair_id, l_partkey % 3 = 0 AS merged,
+  'S' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN '|long text and more|7' ELSE '|1.5|' END AS row FROM order_rows""")
 def q74(spark, d):
-    rows = order_rows(spark, d).where("row_idx = 0")
+    rows = order_rows(spark, d).withColumn("table_id", F.concat_ws(":", "table_id", "row_idx"))
     m = F.col("l_partkey") % 3
     last = F.array(F.concat(F.lit("S"), F.col("l_partkey")), F.when(m == 0, "long text and").otherwise("1.5"), F.lit(""))
     first = F.array(F.when(m == 2, "T").otherwise(""), F.when(m == 0, "more").otherwise("2.5"), F.lit("7"))
     return classify.join_split_rows(rows.select(F.col("table_id").alias("pair_id"), last.alias("last"), first.alias("first"))).select("pair_id", "merged", F.array_join("row", "|").alias("row"))
 
 
-@query("q75_script_runs")
+@query("q75_script_runs", """WITH r AS (SELECT unnest([struct_pack(align := NULL, chunk := 'H'), struct_pack(align := 'subscript', chunk := '2'), struct_pack(align := NULL, chunk := 'O 10'),
+  struct_pack(align := 'superscript', chunk := '-' || p_size), struct_pack(align := NULL, chunk := ' p_brand_' || p_size)]) AS r FROM part) SELECT r.align AS align, r.chunk AS chunk, count(*) AS n FROM r GROUP BY 1, 2""")
 def q75(spark, d):
     p = read(spark, d, "part")
     text = F.concat(F.lit("H_2O 10^{-"), F.col("p_size"), F.lit("} p_brand_"), F.col("p_size"))

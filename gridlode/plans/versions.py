@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import arbitrate, audit, catalog, profile, similarity
 from .cells import _SQUEEZED_CTE, _squeezed_cells
-from .fixtures import CELLS_SQL, ROWS_SQL, order_cells, order_headers, order_rows, read
+from .fixtures import CELLS_SQL, NAMES, ROWS_SQL, order_cells, order_headers, order_rows, read
 
 QUERIES, SQL = {}, {}
 
@@ -44,13 +44,13 @@ def q19(spark, d):
 
 def _versions(spark, d):
     """Extractor A has all rows, B drops every fifth and shifts quantities."""
-    a = order_cells(spark, d).where("col_idx < 3").select(F.col("table_id").alias("id"), "row_idx", "col_idx", "text")
+    a = order_cells(spark, d).select(F.col("table_id").alias("id"), "row_idx", "col_idx", "text")
     b = a.where("row_idx % 5 <> 4").select("id", F.expr("row_idx - row_idx div 5").alias("row_idx"), "col_idx", F.when((F.col("col_idx") == 1) & (F.col("row_idx") % 3 == 1), F.concat(F.lit("1"), F.col("text"))).otherwise(F.col("text")).alias("text"))
     return a.select("id").distinct().select(F.col("id").alias("pair_id"), F.col("id").alias("a_id"), F.col("id").alias("b_id")), a, b
 
 
-_VERSION_SQL = f"""{CELLS_SQL}, a AS (SELECT table_id AS id, row_idx, col_idx, lower(trim(text)) AS v FROM order_cells WHERE col_idx < 3),
-b AS (SELECT table_id AS id, row_idx - row_idx // 5 AS row_idx, col_idx, lower(trim(CASE WHEN col_idx = 1 AND row_idx % 3 = 1 THEN '1' || text ELSE text END)) AS v FROM order_cells WHERE col_idx < 3 AND row_idx % 5 <> 4),
+_VERSION_SQL = f"""{CELLS_SQL}, a AS (SELECT table_id AS id, row_idx, col_idx, lower(trim(text)) AS v FROM order_cells),
+b AS (SELECT table_id AS id, row_idx - row_idx // 5 AS row_idx, col_idx, lower(trim(CASE WHEN col_idx = 1 AND row_idx % 3 = 1 THEN '1' || text ELSE text END)) AS v FROM order_cells WHERE row_idx % 5 <> 4),
 k AS (SELECT id, ra, rb, least(ra, rb) AS r FROM (SELECT id, max(row_idx) + 1 AS ra FROM a GROUP BY 1) JOIN (SELECT id, max(row_idx) + 1 AS rb FROM b GROUP BY 1) USING (id)),
 m AS (SELECT a.id, o.turn, CASE WHEN a.v = '' AND b.v = '' THEN 0.0 WHEN a.v = b.v THEN 1.0 WHEN a.v <> '' AND b.v <> '' AND (contains(a.v, b.v) OR contains(b.v, a.v)) THEN 0.5 ELSE 0.0 END AS s
   FROM a JOIN k ON a.id = k.id AND a.row_idx < k.r CROSS JOIN (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) o(turn, off) JOIN b ON b.id = a.id AND b.row_idx = a.row_idx + o.off AND b.col_idx = a.col_idx),
@@ -70,7 +70,7 @@ def q46(spark, d):
 @query("q47_teds")
 def q47(spark, d):
     pairs, a, b = _versions(spark, d)
-    rows = lambda df: df.groupBy("id", "row_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "text"))), lambda c: c["text"]).alias("r")).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "r"))), lambda x: x["r"]).alias("rows")).withColumn("header", F.array(F.lit("Sample"), F.lit("Qty"), F.lit("Price")))
+    rows = lambda df: df.groupBy("id", "row_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "text"))), lambda c: c["text"]).alias("r")).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "r"))), lambda x: x["r"]).alias("rows")).withColumn("header", F.array(*[F.lit(n) for n in NAMES]))
     return similarity.tree_scores(pairs, rows(a), rows(b)).select("pair_id", F.round("tree", 6).alias("tree"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import listed, map_groups
+
 LINE_GAP, COLUMN_GAP, SLACK = 5.0, 15.0, 5.0
 
 
@@ -26,21 +29,14 @@ def grid_of(words: list[tuple[float, float, float, str]]) -> list[tuple[int, int
     out: dict[tuple[int, int], list[str]] = {}
     for r, line in enumerate(lines):
         for w in sorted(line):
-            c = max(0, int(np.searchsorted(starts, w[0] + SLACK, side="right")) - 1)
+            c = max(0, bisect_right(starts, w[0] + SLACK) - 1)
             out.setdefault((r, c), []).append(w[3])
     return [(r, c, " ".join(t)) for (r, c), t in sorted(out.items())]
 
 
 def words_to_grid(words: DataFrame, region: list[str]) -> DataFrame:
     """Cells (region…, row_idx, col_idx, text); a region is small (a page or a box), and greedy line anchors need it whole."""
-    kinds = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in region)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = grid_of(list(pdf[["x0", "y0", "x1", "text"]].itertuples(index=False, name=None)))
-        key = [pdf[c].iloc[0] for c in region]
-        return pd.DataFrame([(*key, *cell) for cell in cells], columns=[*region, "row_idx", "col_idx", "text"])
-
-    return words.groupBy(*region).applyInPandas(run, f"{kinds}, row_idx int, col_idx int, text string")
+    return map_groups(listed(words, region, ["x0", "y0", "x1", "text"], "words"), region, ["words"], grid_of, "row_idx int, col_idx int, text string")
 
 
 def weighted_columns(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12, merge: float = 8.0) -> list[float]:

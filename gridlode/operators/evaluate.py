@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+from .batches import listed, map_groups
+
 LEAST_SCORE = 0.35
 
 
@@ -40,18 +42,19 @@ def match_tables(scores: DataFrame) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in scores.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for truth, group in pdf.sort_values("truth_id").groupby("truth_id", sort=True):
-            left = group[~group["found_id"].isin(used)].sort_values(["score", "found_id"], ascending=[False, True])
-            if len(left):
-                best = left.iloc[0]
-                used.add(best["found_id"])
-                out.append((best["doc_id"], truth, best["found_id"], float(best["score"])))
-        return pd.DataFrame(out, columns=["doc_id", "truth_id", "found_id", "score"])
-
-    pairs = scores.select("doc_id", "truth_id", "found_id", F.col("score").cast("double").alias("score")).where(F.col("score") >= LEAST_SCORE)
-    return pairs.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, truth_id {kinds['truth_id']}, found_id {kinds['found_id']}, score double")
+    def run(pairs: list):
+        by_truth: dict = {}
+        for truth, found, score in pairs:
+            by_truth.setdefault(truth, []).append((-score, found))
+        used = set()
+        for truth in sorted(by_truth):
+            best = min((s for s in by_truth[truth] if s[1] not in used), default=None)
+            if best:
+                used.add(best[1])
+                yield truth, best[1], -best[0]
+
+    pairs = scores.select("doc_id", "truth_id", "found_id", F.col("score").cast("double").alias("score")).where((F.col("score") >= LEAST_SCORE) & F.col("truth_id").isNotNull())
+    return map_groups(listed(spread(pairs, "doc_id"), ["doc_id"], ["truth_id", "found_id", "score"], "pairs"), ["doc_id"], ["pairs"], run, f"truth_id {kinds['truth_id']}, found_id {kinds['found_id']}, score double")
 
 
 def column_map(truth: DataFrame, found: DataFrame) -> DataFrame:

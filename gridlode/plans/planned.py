@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import arbitrate, boxes, catalog, classify, evaluate, geometry, ledger
 from ..sources import markdown, sinks
+from ..session import spread
 from .fixtures import CELLS_SQL, ROWS_SQL, order_cells, order_headers, order_rows, read
 
 QUERIES, SQL = {}, {}
@@ -322,5 +323,5 @@ def q118(spark, d):
 @query("q119_expected_labels", """SELECT c_custkey AS doc_id, 'Table ' || n AS label, (n - 1) * 2 AS first_line, CASE WHEN n = 1 THEN 2 ELSE 1 END AS n_lines FROM customer CROSS JOIN (VALUES (1), (2)) k(n)""")
 def q119(spark, d):
     lines = F.array(F.lit("Table 1. Ages"), F.lit("text"), F.lit("TABLE 2: Mass"), F.lit("表1 年龄"))
-    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(lines).alias("line_no", "line")).withColumn("is_caption", F.col("line") != "text")
+    rows = spread(read(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.posexplode(lines).alias("line_no", "line")).withColumn("is_caption", F.col("line") != "text")
     return evaluate.expected_labels(rows).select("doc_id", "label", "first_line", "n_lines")

@@ -3,8 +3,9 @@
 import random
 from pathlib import Path
 
-from gridlode.operators import similarity
-from gridlode.plans.fixtures import order_rows
+from gridlode.operators import classify, evaluate, profile, shape, similarity
+from gridlode.plans.fixtures import order_cells, order_headers, order_rows
+from gridlode.sources import markdown
 
 
 def lines(spark, tmp_path: Path) -> str:
@@ -36,3 +37,47 @@ def test_lines_of_orders_are_dealt_over_all_tasks(spark, tmp_path):
     plan = plan_of(rows)
     assert plan.index("Window") < plan.index("RepartitionByExpression")
     assert rows.count() == sum(k % 6 + 1 for k in range(30))
+
+
+def test_noise_rows_meet_the_names_of_their_table(spark, tmp_path):
+    d = lines(spark, tmp_path)
+    noise = shape.noise_rows(order_cells(spark, d), order_headers(spark, d))
+    assert "word#" not in plan_of(noise).split("Join", 1)[1].split("\n")[0]  # joined by table alone
+    cells = spark.createDataFrame([(1, 0, 0, "x"), (1, 1, 0, "Price"), (1, 1, 1, "(USD)"), (1, 2, 0, "")], "table_id long, row_idx int, col_idx int, text string")
+    heads = spark.createDataFrame([(1, 0, "Price (USD)"), (1, 1, "(USD)")], "table_id long, col_idx int, name string")
+    assert {r.row_idx: r.noise for r in shape.noise_rows(cells, heads).collect()} == {0: None, 1: "repeated_header", 2: "empty"}
+
+
+def test_columns_are_found_in_the_array_of_their_table(spark):
+    truth = spark.createDataFrame([(t, i, n) for t in range(9) for i, n in enumerate(["A b", "x_Spot", "q", "z"])], "table_id long, col_idx int, name string")
+    found = spark.createDataFrame([(t, i, n) for t in range(9) for i, n in enumerate(["y_spot", "ab", "AB"])], "table_id long, col_idx int, name string")
+    out = evaluate.column_map(truth, found)
+    assert plan_of(out).count("Join") == 1 and "RepartitionByExpression" in plan_of(out)
+    assert {(r.want_idx, r.got_idx, r.how) for r in out.collect()} == {(0, 1, "name"), (1, 0, "leaf"), (2, 2, "place"), (3, None, "none")} and out.count() == 36
+
+
+def test_tokens_are_distinct_before_they_are_dealt(spark, tmp_path):
+    plan = plan_of(evaluate.table_tokens(order_cells(spark, lines(spark, tmp_path)), order_headers(spark, str(tmp_path))))
+    assert "RepartitionByExpression" in plan.split("Union")[0] and plan.split("Union", 1)[1].count("Aggregate [table_id") >= 2
+
+
+def test_lines_of_markdown_are_sorted_and_never_joined(spark):
+    text = "Table 1. A\n| a | b |\n|---|---|\n| 1 | 2 |\nTable 2. B\nTable 3. C\n| c |\n\n| d | e |"
+    out = markdown.scan_markdown(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert "Join" not in plan_of(out)
+    assert {(r.table_no, r.label, r.row_idx, r.col_idx, r.text) for r in out.collect()} == {(1, "Table 1", 0, 0, "a"), (1, "Table 1", 0, 1, "b"), (1, "Table 1", 1, 0, "1"), (1, "Table 1", 1, 1, "2"), (2, "Table 3", 0, 0, "c"), (3, "", 0, 0, "d"), (3, "", 0, 1, "e")}
+
+
+def test_weak_words_are_one_number(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "Outline of orcid"), (1, 0, 1, "an e-mail"), (2, 0, 0, "outlines orcids"), (2, 0, 1, "emails")], "table_id long, row_idx int, col_idx int, text string")
+    heads = spark.createDataFrame([(t, c, "v") for t in (1, 2) for c in (0, 1)], "table_id long, col_idx int, name string")
+    out = classify.metadata_tables(cells, heads)
+    assert {r.table_id: r.reason for r in out.collect()} == {1: "front_matter", 2: "data"}
+    assert "bit_or" in plan_of(out)
+
+
+def test_numbers_and_years_are_judged_once_a_cell(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "2019/20"), (1, 1, 0, "5.5"), (1, 2, 0, "n. d."), (2, 0, 0, "1"), (2, 1, 0, "2")], "table_id long, row_idx int, col_idx int, text string")
+    out = profile.promotable_first_rows(cells)
+    assert {r.table_id: r.promote for r in out.collect()} == {1: True, 2: False}
+    assert " AS year#" in plan_of(out)  # a column below the counts

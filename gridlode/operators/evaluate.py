@@ -66,9 +66,12 @@ def column_map(truth: DataFrame, found: DataFrame) -> DataFrame:
     leaf = lambda c: clean(F.substring_index(c, "_", -1))
     t = truth.select("table_id", F.col("col_idx").alias("want_idx"), clean(F.col("name")).alias("whole"), leaf(F.col("name")).alias("leaf"))
     f = found.select("table_id", F.col("col_idx").alias("got_idx"), clean(F.col("name")).alias("whole"), leaf(F.col("name")).alias("leaf"))
-    first = lambda by: f.where(F.col(by) != "").groupBy("table_id", by).agg(F.min("got_idx").alias(f"by_{by}"))
-    both = t.join(first("whole"), ["table_id", "whole"], "left").join(first("leaf"), ["table_id", "leaf"], "left")
-    both = both.join(f.select("table_id", F.col("got_idx").alias("want_idx"), F.col("got_idx").alias("by_place")), ["table_id", "want_idx"], "left")
+    # the found columns of a table are one array, and both sides are dealt by table over all tasks
+    listed = spread(f, "table_id").groupBy("table_id").agg(F.collect_list(F.struct("got_idx", "whole", "leaf")).alias("found"))
+    both = spread(t, "table_id").join(listed, "table_id", "left")
+    first = lambda by: F.array_min(F.transform(F.filter("found", lambda x: (x[by] != "") & (x[by] == F.col(by))), lambda x: x["got_idx"]))
+    place = F.when(F.exists("found", lambda x: x["got_idx"] == F.col("want_idx")), F.col("want_idx"))
+    both = both.select("table_id", "want_idx", first("whole").alias("by_whole"), first("leaf").alias("by_leaf"), place.alias("by_place"))
     how = F.when(F.col("by_whole").isNotNull(), "name").when(F.col("by_leaf").isNotNull(), "leaf").when(F.col("by_place").isNotNull(), "place").otherwise("none")
     return both.select("table_id", "want_idx", F.coalesce("by_whole", "by_leaf", "by_place").alias("got_idx"), how.alias("how"))
 

@@ -163,8 +163,10 @@ def area_ratio(a: str, b: str) -> Column:
 def table_tokens(cells: DataFrame, headers: DataFrame, reversed_too: bool = False) -> DataFrame:
     """(table_id, token): distinct lower-case pieces of names and cells, cut at white space, slashes, bars, commas and semicolons."""
     names = headers.where(~F.trim("name").rlike(r"(?i)^(?:unnamed: *[0-9]+|col_?[0-9]+|[0-9]+)$")).select("table_id", F.col("name").alias("text"))
-    texts = cells.where(~F.lower(F.trim(F.coalesce("text", F.lit("")))).isin("nan", "none", "null")).select("table_id", "text").unionByName(names)
-    out = texts.select("table_id", F.explode(F.split(F.lower("text"), r"[\s/|,;]+")).alias("token")).where("token <> ''")
+    texts = cells.where(~F.lower(F.trim(F.coalesce("text", F.lit("")))).isin("nan", "none", "null")).select("table_id", "text")
+    # pieces are distinct before names and cells meet
+    pieces = lambda df: df.select("table_id", F.explode(F.split(F.lower("text"), r"[\s/|,;]+")).alias("token")).where("token <> ''").distinct()
+    out = spread(pieces(texts).union(pieces(names)), "table_id")
     if reversed_too:
         out = out.union(out.where(F.length("token") >= 2).select("table_id", F.reverse("token")))
     return out.distinct()

@@ -28,17 +28,19 @@ def scan_markdown(docs: DataFrame) -> DataFrame:
     rows = lines.withColumn("piped", piped).withColumn("starts", (F.col("piped") & ~F.coalesce(F.lag("piped").over(w), F.lit(False))).cast("int"))
     rows = rows.withColumn("table_no", F.sum("starts").over(w)).withColumn("page_idx", F.coalesce(F.last(page, ignorenulls=True).over(w), F.lit(0)))
     label = F.when(~F.col("piped"), F.nullif(canonical_label(find_label(F.col("line"))), F.lit("")))
-    # a label counts until the table below it begins: labels are numbered with the tables before them
-    rows = rows.withColumn("own", label)
-    taken = rows.where("own is not null").groupBy("doc_id", (F.col("table_no") + 1).alias("table_no")).agg(F.max_by("own", "line_no").alias("label"))
+    # a label counts until the table below it begins: it has the number of the table before it
+    own = F.when(F.nullif(label, F.lit("")).isNotNull(), F.struct(label.alias("label"), "table_no"))
+    rows = rows.withColumn("own", own).withColumn("last", F.last("own", ignorenulls=True).over(w))
+    label = F.when(F.col("last.table_no") == F.col("table_no") - 1, F.col("last.label"))
     body = rows.where(F.col("piped") & ~is_separator(F.col("line")))
-    body = body.withColumn("row_idx", F.row_number().over(Window.partitionBy("doc_id", "table_no").orderBy("line_no")) - 1)
-    texts = F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|")
-    cells = body.select("doc_id", "table_no", "page_idx", "row_idx", F.posexplode(texts).alias("col_idx", "text")).withColumn("text", F.trim("text"))
-    shape = cells.groupBy("doc_id", "table_no").agg(((F.max("col_idx") + 1) * (F.max("row_idx") + 1)).alias("places"), (F.max("col_idx") + 1).alias("cols"), F.count_if(F.col("text") != "").alias("filled"))
-    sound = shape.where(~((F.col("cols") > 30) & (F.col("filled") / F.col("places") < 0.30))).select("doc_id", "table_no")
-    out = cells.join(sound, ["doc_id", "table_no"]).join(taken, ["doc_id", "table_no"], "left")
-    return out.select("doc_id", "table_no", "page_idx", F.coalesce("label", F.lit("")).alias("label"), "row_idx", "col_idx", "text")
+    texts = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    body = body.select("doc_id", "table_no", "page_idx", "line_no", F.coalesce(label, F.lit("")).alias("label"), texts.alias("texts"))
+    # rows are numbered and tables judged before rows become cells: a document's lines are sorted, never joined again
+    table = Window.partitionBy("doc_id", "table_no")
+    body = body.withColumn("row_idx", F.row_number().over(table.orderBy("line_no")) - 1).withColumn("filled", F.size(F.filter("texts", lambda x: x != "")))
+    body = body.withColumn("cols", F.max(F.size("texts")).over(table)).withColumn("places", F.col("cols") * F.count(F.lit(1)).over(table)).withColumn("filled", F.sum("filled").over(table))
+    sound = body.where(~((F.col("cols") > 30) & (F.col("filled") / F.col("places") < 0.30)))
+    return sound.select("doc_id", "table_no", "page_idx", "label", "row_idx", F.posexplode("texts").alias("col_idx", "text"))
 
 
 def split_pages(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,8 @@ CARD_NAMES = ("title", "authors", "journal", "volume", "issue", "date", "pages",
 
 
 def _has_word(text: Column, word: str) -> Column:
-    return text.rlike(rf"\b{word}\b") if word.isascii() else text.contains(word)
+    # most cells lack the word's first letters, which is quicker to see than to search for the word
+    return text.contains(re.split(r"\W", word)[0]) & text.rlike(rf"\b{word}\b") if word.isascii() else text.contains(word)
 
 
 def metadata_tables(cells: DataFrame, headers: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -28,21 +33,22 @@ def metadata_tables(cells: DataFrame, headers: DataFrame, labels: DataFrame | No
 
     ``labels`` is (table_id, label): tables with a label are not taken for prose. All rules see the whole table.
     """
-    low = F.lower(F.trim(F.coalesce("text", F.lit(""))))
-    has = ~low.isin("", "nan", "none")
+    # one number says which words were seen; a cell without any of them is not searched for each
+    words = F.array(*[F.when(_has_word(F.col("low"), w), F.lit(1 << i).cast("long")) for i, w in enumerate(FRONT_WEAK)])
+    cells = cells.select("table_id", "row_idx", "col_idx", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("low")).withColumn("found", F.when(reduce(or_, [F.col("low").contains(re.split(r"\W", w)[0]) for w in FRONT_WEAK]), F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.coalesce(x, F.lit(0).cast("long"))))))
+    low, has = F.col("low"), ~F.col("low").isin("", "nan", "none")
     prose = low.rlike("[。；！？]") | ((F.length(low) > 30) & low.contains(" ") & low.rlike("[.;]"))
     number = low.rlike("[0-9]")
     strong_row = F.lit(False)
     for w in FRONT_STRONG:
         strong_row = strong_row | low.contains(w)
-    weak = [F.max(_has_word(low, w).cast("int")).alias(f"w{i}") for i, w in enumerate(FRONT_WEAK)]
     body = cells.groupBy("table_id").agg(
         (F.max("row_idx") + 1).alias("rows"), (F.max("col_idx") + 1).alias("cols"), F.count_if(has).alias("filled"), F.count_if(has & prose).alias("prose"), F.count_if(has & number).alias("numbers"),
         F.max(F.length(low)).alias("longest"), F.sum(F.when(has, F.length(low))).alias("chars"), F.count_distinct(F.when(strong_row, F.col("row_idx"))).alias("strong_rows"),
         F.count_if((F.col("col_idx") == 0) & low.rlike(r"^\[[0-9]+\]")).alias("cited"), F.count_if((F.col("col_idx") == 0) & has).alias("firsts"), F.sum(F.regexp_count(low, F.lit(r"\b(?:19|20)[0-9]{2}\b"))).alias("years"),
         F.sum(F.regexp_count(low, F.lit(r"\bet\s+al\.|\bpp\.|\bvol\.|\bjournal\b|\bthesis\b"))).alias("citations"), F.count_if(has & is_data_value(low)).alias("values"),
         F.max(low.rlike(r"table\s*s[0-9]+\s*[:：-]").cast("int")).alias("toc_a"), F.max(low.rlike(r"supplementary\s+table\s*[0-9]+\s*[:：-]").cast("int")).alias("toc_b"), F.max(low.rlike(r"description\s+of\s+(?:samples|table)").cast("int")).alias("toc_c"),
-        F.max(F.when((F.col("row_idx") < 2) & (F.length(low) >= 15), low.rlike(r"^(?:fig(?:ure|\.)?|图\s*[0-9]+|plate\s*[0-9]+|photo\s*[0-9]+)\s*[:.\s0-9]").cast("int"))).alias("figure"), *weak,
+        F.max(F.when((F.col("row_idx") < 2) & (F.length(low) >= 15), low.rlike(r"^(?:fig(?:ure|\.)?|图\s*[0-9]+|plate\s*[0-9]+|photo\s*[0-9]+)\s*[:.\s0-9]").cast("int"))).alias("figure"), F.bit_or("found").alias("found"),
     )
     name = F.lower(F.trim(F.coalesce("name", F.lit(""))))
     strong_name, weak_names = F.lit(False), F.lit(0)
@@ -59,7 +65,7 @@ def metadata_tables(cells: DataFrame, headers: DataFrame, labels: DataFrame | No
     t = body.join(head, "table_id", "left")
     t = t.join(labels.select("table_id", (F.col("label") != "").alias("labelled")), "table_id", "left") if labels is not None else t.withColumn("labelled", F.lit(False))
     t = t.na.fill(False).na.fill(0)
-    weak_hits = sum((F.col(f"w{i}") for i in range(len(FRONT_WEAK))), F.lit(0))
+    weak_hits = F.bit_count("found")
     c = F.col
     prose_share, number_share = c("prose") / F.greatest(F.lit(1), c("filled")), c("numbers") / F.greatest(F.lit(1), c("filled"))
     reason = (

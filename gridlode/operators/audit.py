@@ -50,8 +50,14 @@ def confusion(truth: DataFrame, extracted: DataFrame, tolerance: float = 0.01) -
 
     A number is right within 1e-3 or ``tolerance`` of its size.
     """
-    both = truth.alias("t").join(extracted.alias("e"), ["doc_id", "row_idx", "col_idx"], "left").select("doc_id", "row_idx", F.col("t.num").alias("want"), F.col("e.num").alias("got"))
-    right = F.coalesce(F.abs(F.col("got") - F.col("want")) <= F.greatest(F.lit(1e-3), F.lit(tolerance) * F.abs("want")), F.lit(False))
-    rows = both.groupBy("doc_id", "row_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if(~right).alias("wrong"), F.max(F.col("got").isNotNull()).alias("seen"))
+    # both sides of a cell are grouped, not joined: a group needs no dealing of its own where documents are dealt already, and no second sort
+    keys = ["doc_id", "row_idx", "col_idx"]
+    known = F.col("doc_id").isNotNull() & F.col("row_idx").isNotNull() & F.col("col_idx").isNotNull()
+    sides = truth.select(*keys, F.struct("num").alias("t"), F.lit(None).alias("e")).unionByName(extracted.select(*keys, F.lit(None).alias("t"), F.when(known, F.struct("num")).alias("e")))
+    cells = sides.groupBy(*keys).agg(F.collect_list("t").alias("wants"), F.collect_list("e").alias("gots")).where(F.size("wants") > 0)
+    right = lambda want, got: F.coalesce(F.abs(got - want) <= F.greatest(F.lit(1e-3), F.lit(tolerance) * F.abs(want)), F.lit(False))
+    hits = F.aggregate("wants", F.lit(0).cast("long"), lambda n, t: n + F.size(F.filter("gots", lambda e: right(t["num"], e["num"]))))
+    n = F.size("wants").cast("long") * F.greatest(F.size("gots"), F.lit(1))
+    rows = cells.select("doc_id", "row_idx", n.alias("n"), (n - hits).alias("wrong"), F.exists("gots", lambda e: e["num"].isNotNull()).alias("seen")).groupBy("doc_id", "row_idx").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"), F.max("seen").alias("seen"))
     out = rows.groupBy("doc_id").agg(F.sum("n").alias("n_cells"), F.sum("wrong").alias("n_wrong"), F.count_if(~F.col("seen")).alias("n_missing_rows"))
     return out.withColumn("error_rate", F.round(F.col("n_wrong") / F.col("n_cells"), 6))

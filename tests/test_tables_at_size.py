@@ -3,8 +3,10 @@
 import random
 from pathlib import Path
 
-from gridlode.operators import classify, evaluate, profile, shape, similarity
+from gridlode.operators import audit, classify, evaluate, profile, shape, similarity
+from gridlode.plans import QUERIES, fixtures
 from gridlode.plans.fixtures import order_cells, order_headers, order_rows
+from gridlode.session import tasks_of
 from gridlode.sources import markdown
 
 
@@ -81,3 +83,28 @@ def test_numbers_and_years_are_judged_once_a_cell(spark):
     out = profile.promotable_first_rows(cells)
     assert {r.table_id: r.promote for r in out.collect()} == {1: True, 2: False}
     assert " AS year#" in plan_of(out)  # a column below the counts
+
+
+def test_both_sides_of_a_cell_are_grouped_and_not_joined(spark):
+    schema = "doc_id long, row_idx int, col_idx int, num double"
+    truth = spark.createDataFrame([(1, 0, 0, 10.0), (1, 0, 0, 20.0), (1, 1, 0, 5.0), (1, 2, 0, None), (2, None, 0, 7.0)], schema)
+    found = spark.createDataFrame([(1, 0, 0, 10.0), (1, 0, 0, 30.0), (1, 2, 0, None), (2, None, 0, 7.0), (3, 0, 0, 1.0)], schema)
+    out = audit.confusion(truth, found)
+    assert {tuple(r) for r in out.collect()} == {(1, 6, 5, 2, 0.833333), (2, 1, 1, 1, 1.0)}
+    assert "Join" not in plan_of(out)
+
+
+def test_documents_that_are_dealt_are_scored_in_their_task(spark, tmp_path):
+    out = QUERIES["q52_ground_truth_eval"](spark, lines(spark, tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 == plan.count("REPARTITION_BY_NUM")  # the lines of each side, and no more
+    assert out.count() == 30
+
+
+def test_large_tables_of_lines_have_more_tasks(spark, tmp_path, monkeypatch):
+    d = lines(spark, tmp_path)
+    small = order_rows(spark, d)
+    assert small.rdd.getNumPartitions() == 4
+    monkeypatch.setattr(fixtures, "tasks_of", lambda df: tasks_of(df, 100))
+    assert order_rows(spark, d).rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, order_rows(spark, d).collect())) == sorted(map(tuple, small.collect()))

@@ -212,7 +212,8 @@ def join_split_rows(pairs: DataFrame) -> DataFrame:
     clash = F.exists("z", lambda p: (p["a"] != "") & (p["b"] != "") & ~p["a"].rlike("[-—]$") & (is_data_value(p["a"]) | is_data_value(p["b"])))
     joined = F.transform("z", lambda p: F.when(p["b"] == "", p["a"]).when(p["a"] == "", p["b"]).when(p["a"].rlike("[-—]$"), F.concat(F.regexp_replace(p["a"], "[-—]$", ""), p["b"])).otherwise(F.concat_ws(" ", p["a"], p["b"])))
     ok = F.coalesce(key_gone & (broken | (blank(F.get("z", F.lit(0))["b"]) & fills)) & ~clash, F.lit(False))
-    return rows.select("pair_id", ok.alias("merged"), F.when(ok, joined).otherwise(F.col("last")).alias("row"))
+    # the verdict is a column of its own: it is found once a pair, not once for itself and once for the row
+    return rows.withColumn("merged", ok).select("pair_id", "merged", F.when(F.col("merged"), joined).otherwise(F.col("last")).alias("row"))
 
 
 _RUN = r"\^\{[^}]+\}|_\{[^}]+\}|<su[pb][^>]*>[^<]*</su[pb]>|\^(?:[+-]?[0-9]+[+-]?|[+-]|[A-Za-z])|(?<![a-z]{3})_[0-9]+[+-]?|[⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ]+|[₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎]+"

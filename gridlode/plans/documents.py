@@ -216,7 +216,7 @@ def q73(spark, d):
 @query("q74_split_rows", f"""WITH {ROWS_SQL} SELECT table_id || ':' || row_idx AS pair_id, l_partkey % 3 = 0 AS merged,
   'S' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN '|long text and more|7' ELSE '|1.5|' END AS row FROM order_rows""")
 def q74(spark, d):
-    rows = order_rows(spark, d).withColumn("table_id", F.concat_ws(":", "table_id", "row_idx"))
+    rows = order_rows(spark, d, "l_partkey").withColumn("table_id", F.concat_ws(":", "table_id", "row_idx"))
     m = F.col("l_partkey") % 3
     last = F.array(F.concat(F.lit("S"), F.col("l_partkey")), F.when(m == 0, "long text and").otherwise("1.5"), F.lit(""))
     first = F.array(F.when(m == 2, "T").otherwise(""), F.when(m == 0, "more").otherwise("2.5"), F.lit("7"))

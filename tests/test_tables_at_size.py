@@ -108,3 +108,12 @@ def test_large_tables_of_lines_have_more_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fixtures, "tasks_of", lambda df: tasks_of(df, 100))
     assert order_rows(spark, d).rdd.getNumPartitions() > 4
     assert sorted(map(tuple, order_rows(spark, d).collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_split_rows_are_judged_once_a_pair(spark, tmp_path):
+    out = QUERIES["q74_split_rows"](spark, lines(spark, tmp_path))
+    plan = plan_of(out)
+    assert plan.count("exists(z#") == 2  # not once for the verdict and once for the row
+    assert "l_tax" not in plan.split("Relation")[0]  # only what orders and makes the rows is dealt
+    assert "(?=[A-Z])" not in plan  # a text of a value's form is not tried as a formula too
+    assert {r.pair_id.split(":")[0]: (r.merged, r.row) for r in out.where("pair_id like '%:0'").collect()}["3"] == (True, "S21|long text and more|7")

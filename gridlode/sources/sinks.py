@@ -45,9 +45,9 @@ def escape_html(text: Column) -> Column:
 def preview_cards(cells: DataFrame, rows: int = 15) -> DataFrame:
     """(table_id, html): the first rows of each table as an HTML table."""
     shown = cells.where(F.col("row_idx") < rows).withColumn("td", F.concat(F.lit("<td>"), escape_html(F.coalesce("text", F.lit(""))), F.lit("</td>")))
-    lines = shown.groupBy("table_id", "row_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "td"))), lambda c: c["td"]), "").alias("tds"))
-    table = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "tds"))), lambda r: F.concat(F.lit("<tr>"), r["tds"], F.lit("</tr>"))), "")
-    return lines.groupBy("table_id").agg(F.concat(F.lit("<table>"), table, F.lit("</table>")).alias("html"))
+    tables = shown.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row_idx", "col_idx", "td"))).alias("cells"))
+    begins = lambda c, k: F.when((k > 0) & (F.get("cells", k - 1)["row_idx"] == c["row_idx"]), c["td"]).otherwise(F.concat(F.when(k > 0, "</tr><tr>").otherwise("<tr>"), c["td"]))
+    return tables.select("table_id", F.concat(F.lit("<table>"), F.array_join(F.transform("cells", begins), ""), F.lit("</tr></table>")).alias("html"))
 
 
 def write_tables(wide: DataFrame, path: str, by: list[str]) -> None:

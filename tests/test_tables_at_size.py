@@ -7,7 +7,7 @@ from gridlode.operators import audit, classify, evaluate, profile, shape, simila
 from gridlode.plans import QUERIES, fixtures
 from gridlode.plans.fixtures import order_cells, order_headers, order_rows
 from gridlode.session import tasks_of
-from gridlode.sources import markdown
+from gridlode.sources import markdown, sinks
 
 
 def lines(spark, tmp_path: Path) -> str:
@@ -117,3 +117,10 @@ def test_split_rows_are_judged_once_a_pair(spark, tmp_path):
     assert "l_tax" not in plan.split("Relation")[0]  # only what orders and makes the rows is dealt
     assert "(?=[A-Z])" not in plan  # a text of a value's form is not tried as a formula too
     assert {r.pair_id.split(":")[0]: (r.merged, r.row) for r in out.where("pair_id like '%:0'").collect()}["3"] == (True, "S21|long text and more|7")
+
+
+def test_cells_of_a_card_are_grouped_once(spark):
+    cells = spark.createDataFrame([(1, 3, 0, "<a>"), (1, 0, 1, None), (1, 0, 0, "b"), (1, 15, 0, "late"), (2, 1, 2, "c"), (2, 1, 0, "d"), (2, 2, 1, "e")], "table_id long, row_idx int, col_idx int, text string")
+    out = sinks.preview_cards(cells)
+    assert {r.table_id: r.html for r in out.collect()} == {1: "<table><tr><td>b</td><td></td></tr><tr><td>&lt;a&gt;</td></tr></table>", 2: "<table><tr><td>d</td><td>c</td></tr><tr><td>e</td></tr></table>"}
+    assert plan_of(out).count("Aggregate [") == 1

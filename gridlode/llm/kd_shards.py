@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .skew import join_counted
-from .store import materialize
+from .store import materialize, tidy
 
 SHARDS = 8
 SLICE_BITS = 14
@@ -128,6 +128,7 @@ def kd_tree(points: DataFrame, shards: int = SHARDS) -> tuple[list[list[tuple]],
     due, names = {0: shards}, 0
     below: dict[int, tuple[int, int]] = {}
     while any(k > 1 for k in due.values()):
+        tidy(points.sparkSession)
         level = []
         open_ = {n: k for n, k in due.items() if k > 1}
         cut = {n: (d, at) for n, d, at in _cuts(place(points, levels), open_)}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .models import Logistic, sigmoid
-from .store import materialize
+from .store import materialize, tidy
 from .textkit import Words, mix, run_hashes, text_ranges
 
 MAX_LABELLED = 20_000
@@ -219,6 +219,7 @@ class TablePool:
             if np.ndim(total):
                 yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
+        tidy(self.table.sparkSession)
         return sum((np.frombuffer(r["sums"]) for r in self.table.mapInArrow(run, "sums binary").collect()), 0.0)
 
 
